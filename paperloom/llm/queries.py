@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, token_counts
-from .common import table
+from . import bpe, chat, mixing, pii, quality, token_counts, toxicity
+from .common import fold, table
 
 #: The vocabulary that op1 and op9 work with.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,24 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(talks.unionByName(added)))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 5)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder != 0)
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (remainder == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 4)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), remainder != 2)
+    scored = quality.score_documents(docs, model)
+    return scored.select("doc_id", (remainder == 2).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
@@ -44,4 +62,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_formatting, op9_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_formatting, op4_toxicity, op5_pii, op6_quality, op9_bpe)}
