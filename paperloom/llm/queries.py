@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, mixing, pii, quality, token_counts, topk, toxicity
+from . import ann, bpe, chat, mixing, ngram_join, pii, quality, token_counts, topk, toxicity
 from .common import fold, table
 
 #: The vocabulary that op1 and op9 work with.
@@ -53,6 +53,10 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
@@ -70,4 +74,4 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_formatting, op4_toxicity, op5_pii, op6_quality, op7_exact_topk, op9_bpe, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_formatting, op4_toxicity, op5_pii, op6_quality, op7_exact_topk, op8_ngram_join, op9_bpe, op10_nearest_neighbours)}
