@@ -446,7 +446,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     with an empty set and rows of components without any id all stay.
     """
     keep = similar_documents(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = keep.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
+    ids = keep.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
     columns = docs.columns
-    named = docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    named = docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
     return named.dropDuplicates(["doc_id"]).select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))

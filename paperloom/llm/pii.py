@@ -269,10 +269,10 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with its texts sanitised; all columns stay.  Null texts stay null."""
     spans = find_spans(docs, **thresholds).where((F.size("base") > 0) | (F.size("terms") > 0))
     # rows equal in id and text have equal spans; one of them is enough to join
-    spans = spans.groupBy(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).agg(F.first("base").alias("_base"), F.first("terms").alias("_terms"))
+    spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row")).agg(F.first("base").alias("__base"), F.first("terms").alias("__terms"))
     columns = docs.columns
-    joined = docs.withColumn("_key", row_key()).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    source = joined.select(*columns, "_base", "_terms")
+    joined = docs.withColumn("__key", row_key()).join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), "left")
+    source = joined.select(*columns, "__base", "__terms")
     where = columns.index("text")
     schema = T.StructType(source.schema.fields[:-2])
 
