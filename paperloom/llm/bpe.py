@@ -18,7 +18,6 @@ from __future__ import annotations
 from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +88,7 @@ class Codec:
                 a, b = ranks.get(key[:i]), ranks.get(key[i:])
                 if a is not None and b is not None:
                     self.merges[a << 32 | b] = rank
+        self.byte_pairs = [self.merges.get(a << 32 | b, -1) for a in self.byte_ids for b in self.byte_ids]
         top = max(ranks.values()) + 1
         entries = [b""] * top
         for key, rank in ranks.items():
@@ -96,7 +96,7 @@ class Codec:
         self.flat = np.frombuffer(b"".join(entries), dtype=np.uint8)
         self.lengths = np.array([len(x) for x in entries], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
-        self.memo = Memo(self.encode_piece)
+        self.memo = Memo(lambda piece: array("i", self.encode_piece(piece)).tobytes(), limit=300_000)  # ids packed, 4 bytes each
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8")
@@ -104,27 +104,40 @@ class Codec:
         return (self.id_at[at],) if at >= 0 else self.merge(data)
 
     def merge(self, data: bytes) -> tuple[int, ...]:
-        """Lowest rank first, leftmost among equals, over a doubly linked list."""
+        """Lowest rank first, leftmost among equals, over a doubly linked list.
+
+        ``merged[i]`` is the rank that i and its successor merge to, -1 if none.  A heap entry
+        (rank, i) packed in one number is out of date when ``merged[i]`` is no longer its rank.
+        """
+        n, get, first = len(data), self.merges.get, self.byte_pairs
         ids = [self.byte_ids[b] for b in data]
-        n, get = len(ids), self.merges.get
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 32 | ids[i + 1])) is not None]
+        merged = [first[a << 8 | b] for a, b in zip(data, data[1:], strict=False)]
+        heap = [r << 32 | i for i, r in enumerate(merged) if r >= 0]
+        merged.append(-1)
         heapify(heap)
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            rank, i, a, b = heappop(heap)
+            entry = heappop(heap)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
+            if merged[i] != rank:
+                continue
             j = nxt[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue  # one of the two has been merged since
             ids[i], ids[j] = rank, -1
+            merged[j] = -1
             k = nxt[i] = nxt[j]
+            r = -1
             if k < n:
                 prv[k] = i
-                if (r := get(rank << 32 | ids[k])) is not None:
-                    heappush(heap, (r, i, rank, ids[k]))
+                r = get(rank << 32 | ids[k], -1)
+                if r >= 0:
+                    heappush(heap, r << 32 | i)
+            merged[i] = r
             h = prv[i]
-            if h >= 0 and (r := get(ids[h] << 32 | rank)) is not None:
-                heappush(heap, (r, h, ids[h], rank))
-        return tuple(x for x in ids if x >= 0)
+            if h >= 0:
+                r = merged[h] = get(ids[h] << 32 | rank, -1)
+                if r >= 0:
+                    heappush(heap, r << 32 | h)
+        return tuple([x for x in ids if x >= 0])
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids -> all their bytes, and the length of each id's share."""
@@ -157,12 +170,13 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                flat, ends = array("i"), [0]
+                packed, ends, at_id = [], [0], 0
                 for value in part.column(part.num_columns - 1):
                     for pieces in split(value.as_py() or ""):
-                        flat.extend(chain.from_iterable(map(look, pieces)))
-                    ends.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
+                        packed.append(b"".join(map(look, pieces)))
+                        at_id += len(packed[-1]) // 4
+                    ends.append(at_id)
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[f.name for f in schema.fields])
 
     return source.mapInArrow(run, schema)
