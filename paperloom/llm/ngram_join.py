@@ -31,7 +31,6 @@ id unless no other is there.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +41,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
-from .vocab import Memo
 
 GROUPS = 64
-CELL_BITS = 20
+CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 #: Members of a tree that are listed in one row; larger ones are handled as blocks.
 LISTED = 64
@@ -58,23 +56,19 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _word_hash(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
-
-
 class Shingler:
     """text -> sorted distinct 64-bit hashes of its word shingles."""
 
     def __init__(self, words: int):
-        self.words, self.look = words, Memo(_word_hash, limit=200_000).__getitem__
+        import xxhash
+
+        self.words, self.hash = words, xxhash.xxh3_64_intdigest
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.empty(0, dtype=np.uint64)
-        h = np.fromiter(map(self.look, words), dtype=np.uint64, count=len(words))
+        h = np.fromiter(map(self.hash, words), dtype=np.uint64, count=len(words))
         k = min(self.words, len(words))
         n = len(words) - k + 1
         out = np.full(n, k, dtype=np.uint64)
@@ -104,34 +98,46 @@ def linked(inter: int, na: int, nb: int, num: int, den: int) -> bool:
 
 
 def count_cells(docs: DataFrame, words: int) -> np.ndarray:
-    """How many documents' shingles fall in each cell: one table of 4 MB, whatever the corpus.
+    """About log2 of how many documents' shingles fall in each cell: 4 MB, whatever the corpus.
 
     Tables of tasks are added in groups of 16, group after group, on the executors.
     """
 
+    def squeeze(total: np.ndarray) -> pa.Array:
+        import zstandard
+
+        return pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())
+
     def count(batches):
         total, shingle = np.zeros(CELLS, dtype=np.uint32), Shingler(words)
         for batch in batches:
-            for value in batch.column(0):
-                cells = shingle(value.as_py()) >> np.uint64(64 - CELL_BITS)
-                np.add.at(total, cells.astype(np.int64), 1) if len(cells) < 2048 else np.add(total, np.bincount(cells.astype(np.int64), minlength=CELLS).astype(np.uint32), out=total)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "cells"])
+            for at in range(0, batch.num_rows, 2048):
+                sets = [shingle(value.as_py()) for value in batch.column(0).slice(at, 2048)]
+                cells = (np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                if len(cells) < CELLS // 8:
+                    np.add.at(total, cells, 1)
+                else:
+                    total += np.bincount(cells, minlength=CELLS).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), squeeze(total)], names=["part", "cells"])
+
+    def sum_of(values) -> np.ndarray:
+        import zstandard
 
-    def add(table: pa.Table) -> pa.Table:
         total = np.zeros(CELLS, dtype=np.uint32)
-        for value in table.column("cells"):
-            total += np.frombuffer(zlib.decompress(value.as_py()), dtype=np.uint32)
-        return pa.table({"part": table.column("part").slice(0, 1), "cells": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        for value in values:
+            total += np.frombuffer(zstandard.decompress(value), dtype=np.uint32)
+        return total
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"part": table.column("part").slice(0, 1), "cells": squeeze(sum_of(v.as_py() for v in table.column("cells")))})
 
     source = docs.select("text")
     n, tables = source.rdd.getNumPartitions(), source.mapInArrow(count, "part long, cells binary")
     while n > 1:
         n = -(-n // 16)
         tables = tables.withColumn("part", F.pmod("part", F.lit(n))).groupBy("part").applyInArrow(add, "part long, cells binary")
-    total = np.zeros(CELLS, dtype=np.uint32)
-    for row in tables.collect():
-        total += np.frombuffer(zlib.decompress(row.cells), dtype=np.uint32)
-    return total
+    total = sum_of(row.cells for row in tables.collect())
+    return np.minimum(255, np.rint(12 * np.log2(1.0 + total))).astype(np.uint8)
 
 
 # ---- documents -> sets -----------------------------------------------------------------------
@@ -264,12 +270,17 @@ class Union:
 # ---- links -----------------------------------------------------------------------------------
 
 
-def with_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) -> a, b, na, nb, ma, mb.  Only sets that a pair asks for leave their place."""
-    ids = materialize(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct(), "join-ids")
+def pick(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of ``table`` whose rid is in ``ids``, picked where they lie while the ids are few enough to send."""
+    ids = materialize(ids.select(F.col(column).alias("_id")).distinct(), "join-ids")
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    picked = sets.join(ids, F.col("rid") == F.col("_id"), "left_semi").select("rid", "n", "members")
+    return table.join(ids, F.col("rid") == F.col("_id"), "left_semi")
+
+
+def with_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) -> a, b, na, nb, ma, mb.  Only sets that a pair asks for leave their place."""
+    picked = pick(sets, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id").select("rid", "n", "members")
     left = picked.select(F.col("rid").alias("_ra"), F.col("n").alias("na"), F.col("members").alias("ma"))
     right = picked.select(F.col("rid").alias("_rb"), F.col("n").alias("nb"), F.col("members").alias("mb"))
     joined = pairs.join(right.hint("merge"), F.col("b") == F.col("_rb")).join(left.hint("merge"), F.col("a") == F.col("_ra"))
@@ -294,6 +305,7 @@ def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 def bounded(points: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose points let them reach the threshold."""
+    points = pick(points, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     left, right = (points.select(F.col("rid").alias(f"_r{x}"), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
     joined = pairs.join(right, F.col("b") == F.col("_rb")).join(left, F.col("a") == F.col("_ra")).where((den * F.col("na") >= num * F.col("nb")) & (den * F.col("nb") >= num * F.col("na")))
 
@@ -392,28 +404,38 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
 
     # one vertex for each distinct set
     vertex = materialize(full.groupBy("digest").agg(F.min("rid").alias("vid"), F.min("doc_id").alias("first_doc")), "join-vertices")
-    chosen = full.join(vertex.select(F.col("vid").alias("_vid")), F.col("rid") == F.col("_vid"), "left_semi")
+    chosen = pick(full, vertex, "vid")
     points = full.select("rid", "n", "point")
 
-    leads = materialize(chosen.select("rid", F.explode("lead").alias("token")), "join-leads")
-    trees = materialize(leads.groupBy("token").agg(F.count("*").alias("size"), F.min("rid").alias("leader"), F.max("rid").alias("last")).where(F.col("size") > 1), "join-trees")
-    within = materialize(leads.join(trees.withColumnRenamed("token", "_token"), F.col("token") == F.col("_token")).select("token", "rid", "size", "leader", "last"), "join-members")
+    leads = materialize(chosen.select("rid", "n", F.explode("lead").alias("token")), "join-leads")
+    trees = materialize(leads.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > 1).withColumnRenamed("token", "_token"), "join-trees")
+    within = materialize(leads.join(trees, F.col("token") == F.col("_token")).select("token", "rid", "n", "size"), "join-members")
 
     # rounds against one leader
-    first = within.groupBy("rid").agg(F.min("leader").alias("a")).where(F.col("a") != F.col("rid")).select("a", F.col("rid").alias("b"))
-    second = within.groupBy("rid").agg(F.max("last").alias("b")).where(F.col("b") != F.col("rid")).select(F.col("rid").alias("a"), "b")
-    tried = materialize(bounded(points, first.unionByName(second).distinct(), num, den), "join-tried")
+    ends = materialize(within.groupBy(F.col("token").alias("_token")).agg(F.min("rid").alias("leader"), F.max("rid").alias("last")), "join-ends")
+    led = within.join(ends, F.col("token") == F.col("_token")).groupBy("rid").agg(F.min("leader").alias("leader"), F.max("last").alias("last"))
+    first = F.when(F.col("leader") != F.col("rid"), F.struct(F.col("leader").alias("a"), F.col("rid").alias("b")))
+    second = F.when(F.col("last") != F.col("rid"), F.struct(F.col("rid").alias("a"), F.col("last").alias("b")))
+    stars = led.select(F.explode(F.array(first, second)).alias("p")).where(F.col("p").isNotNull()).select("p.a", "p.b").distinct()
+    tried = materialize(bounded(points, materialize(stars, "join-stars"), num, den), "join-tried")
     links = materialize(verify(full, tried, num, den), "join-links")
     labels = connected_components(links)
 
     # trees between components
-    mixed = relabel(within.select("token", "rid", "size"), labels)
+    mixed = relabel(within, labels)
     spread = mixed.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select(F.col("token").alias("_token"))
     spread = materialize(spread, "join-spread")
-    mixed = materialize(mixed.join(spread, F.col("token") == F.col("_token")).select("token", "rid", "size", "label"), "join-mixed")
-    lists = mixed.where(F.col("size") <= LISTED).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rid", "label"))).alias("l")).select("l").distinct()
-    small = lists.select(F.xxhash64("l").alias("tree"), F.explode("l").alias("m")).select("tree", "m.rid", "m.label")
-    small = small.join(points.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid")).select("tree", "rid", "label", "n", "point").distinct()
+    mixed = materialize(mixed.join(spread, F.col("token") == F.col("_token")).select("token", "rid", "n", "size", "label"), "join-mixed")
+    lists = mixed.where(F.col("size") <= LISTED).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rid", "label", "n"))).alias("l"))
+
+    def company(x):
+        """Whether another component's set of a size that can reach the threshold is in the list."""
+        return F.exists("l", lambda y: (y["label"] != x["label"]) & (den * y["n"] >= num * x["n"]) & (den * x["n"] >= num * y["n"]))
+
+    lists = lists.select(F.filter("l", company).alias("l")).where(F.size("l") > 1).distinct()
+    small = materialize(lists.select(F.xxhash64("l").alias("tree"), F.explode("l").alias("m")).select("tree", "m.rid", "m.label").distinct(), "join-small")
+    place = pick(points, small, "rid").withColumnRenamed("rid", "_rid")
+    small = small.join(place, F.col("rid") == F.col("_rid")).select("tree", "rid", "label", "n", "point")
     small = small.repartition("tree").sortWithinPartitions("tree")
     pairs = small_tree_pairs(small, num, den).distinct().join(tried, ["a", "b"], "left_anti")
 
@@ -421,10 +443,7 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     big = big.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     big = big.select(F.col("token").alias("tree"), F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "rid", "label")
     big_ids = materialize(big, "join-big")
-    wanted = big_ids.select(F.col("rid").alias("_id")).distinct()
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = full.join(wanted, F.col("rid") == F.col("_id"), "left_semi").select(F.col("rid").alias("_rid"), "n", "point", "members")
+    sets = pick(full, big_ids, "rid").select(F.col("rid").alias("_rid"), "n", "point", "members")
     big = big_ids.join(sets, F.col("rid") == F.col("_rid")).select("tree", "i", "j", "block", "rid", "label", "n", "point", "members")
     big = big.repartition("tree", "i", "j").sortWithinPartitions("tree", "i", "j")
     more = materialize(verify(full, materialize(pairs, "join-pairs"), num, den).unionByName(large_tree_links(big, num, den)), "join-more")
