@@ -1,6 +1,6 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Index of a block: for each dimension the vectors' ids ordered by their component, cut in
+Index of a block: for each dimension the vectors' ids ordered by their component, cut in at most
 ``LEVELS`` segments of equal width; a segment stands for its quantised impact.  With a positive
 query component the impact of a segment grows from the lowest component upwards, with a negative
 one from the highest downwards, so every contribution is counted from zero (what that leaves out is the same for all vectors).
@@ -30,56 +30,58 @@ from pyspark.sql import functions as F
 from . import blocks
 
 SCALE = 256
-LEVELS = 16
-ROUNDS = (0.5, 0.25, 0.12, 0.05)
-#: Vectors of a block that are scored exactly rather than pursued by the index.
-FEW = 1 / 40
+#: Segments of a dimension at most; a block whose components span less has one for each value.
+LEVELS = 1024
+#: Where to look at the bounds: impacts down to this share of the largest one have been taken.
+ROUNDS = (0.04,)
+#: Share of a block's vectors that are scored exactly rather than pursued by the index.
+FEW = 1 / 20
 
 
 class ImpactIndex:
     def __init__(self, matrix: np.ndarray):
         self.matrix = matrix
         self.low, self.high = matrix.min(axis=0), matrix.max(axis=0)
-        self.width = np.maximum(1.0, (self.high - self.low + 1) / LEVELS)
-        self.level = np.minimum(LEVELS - 1, ((matrix - self.low) / self.width)).astype(np.int8)
+        self.width = np.maximum(1.0, np.ceil((self.high - self.low + 1) / LEVELS))
+        self.level = ((matrix - self.low) / self.width).astype(np.int16)
+        self.levels = int(self.level.max()) + 1
         order = np.argsort(self.level, axis=0, kind="stable")
         self.docs = np.ascontiguousarray(order.T)
-        counts = np.stack([np.bincount(self.level[:, d], minlength=LEVELS) for d in range(matrix.shape[1])])
-        self.starts = np.concatenate([np.zeros((len(counts), 1), dtype=np.int64), np.cumsum(counts, axis=1)], axis=1)
         self.rank = np.ascontiguousarray(np.take_along_axis(self.level, order, axis=0).T).astype(np.float64)
+        edges = np.arange(self.levels + 1)
+        self.starts = np.stack([np.searchsorted(r, edges) for r in self.rank])
 
     def search(self, q: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, exact scores) of all possible members of the top k; ``own`` marks excluded rows."""
         n, dims = self.matrix.shape
+        last = self.levels - 1
         weight = np.abs(q) * self.width  # impact of one level
         up = q >= 0
-        # a level's distance from the end where the contribution is least
-        reach = np.where(up[:, None], np.arange(1, LEVELS + 1), np.arange(LEVELS, 0, -1)) * weight[:, None]
         low = np.zeros(n)
-        seen = np.zeros(dims, dtype=np.int64)  # levels taken so far in each dimension
-        top = float(reach.max())
-        for share in (*ROUNDS, -1.0):
-            take = (reach >= share * top).sum(axis=1) if share >= 0 else np.full(dims, LEVELS)
-            docs, gain = [], []
+        seen = np.zeros(dims, dtype=np.int64)  # levels taken so far in each dimension, from its strong end
+        top = float(weight.max()) * self.levels
+        slack = float(weight[self.width > 1].sum())  # what levels of more than one value hide
+        for share in (*ROUNDS, 0.0):
+            # a segment at distance i from the weak end has impact (i + 1) * weight
+            left = np.full(dims, self.levels) if share == 0 else np.ceil(share * top / np.maximum(weight, 1e-300)) - 1
+            take = (self.levels - np.clip(left, 0, self.levels)).astype(np.int64) if share else np.full(dims, self.levels)
             for d in np.flatnonzero(take > seen):
-                a, b = (LEVELS - take[d], LEVELS - seen[d]) if up[d] else (seen[d], take[d])
+                a, b = (self.levels - take[d], self.levels - seen[d]) if up[d] else (seen[d], take[d])
                 span = slice(self.starts[d, a], self.starts[d, b])
-                docs.append(self.docs[d, span])
-                rank = self.rank[d, span]
-                gain.append((rank if up[d] else LEVELS - 1 - rank) * weight[d])
+                gain = self.rank[d, span] if up[d] else last - self.rank[d, span]
+                low[self.docs[d, span]] += gain * weight[d]  # a vector stands once in a dimension
             seen = np.maximum(seen, take)
-            if docs:
-                low += np.bincount(np.concatenate(docs), np.concatenate(gain), n)
-            known = np.where(up, self.level >= LEVELS - seen, self.level < seen)
-            # below the frontier a dimension can still give the impact of its next level
-            left = (LEVELS - seen) * weight
-            high = low + known @ weight + (~known) @ left
+            high = low + slack
+            if share:
+                # below the frontier a dimension can still give the impact of its next level
+                unknown = np.where(up, self.level < self.levels - seen, self.level >= seen)
+                high += unknown.astype(np.float32) @ ((self.levels - seen) * weight).astype(np.float32)
             floor = np.where(own, -np.inf, low)
             bar = np.partition(floor, n - k)[n - k] if n > k else -np.inf
-            members = np.flatnonzero((high >= bar - 1e-6 * (1 + abs(bar))) & ~own)
-            if len(members) <= max(4 * k, n * FEW) or share < 0:
+            members = np.flatnonzero((high >= bar - 1e-5 * (1 + abs(bar))) & ~own)
+            if len(members) <= max(4 * k, n * FEW):
                 break
-        exact = self.matrix[members].astype(np.int64) @ q.astype(np.int64)
+        exact = self.matrix[members] @ q
         return members, exact
 
 
