@@ -9,17 +9,20 @@ worker are the best few of each query in each block.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 CANDIDATES, QUERIES = 8192, 512
 #: Bytes of an Arrow batch; a pair of blocks of 64 dimensions is about 2.5 MB.
-BATCH_BYTES = 32 * 1024 * 1024
+BATCH_BYTES = 16 * 1024 * 1024
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -30,13 +33,18 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
 
 def pack(rows: DataFrame, most: int, dtype: str = "float32") -> DataFrame:
-    """(id, v) -> block, dim, ids, data: vectors of equal length side by side."""
+    """(id, v) -> block, dim, ids, data: vectors of equal length side by side.
+
+    Rows are sorted within their partition and blocks named by partition and number, so a task that
+    is run again after a loss makes the same blocks under the same names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        number = count()
 
         def block(ids: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
-            values = [[uuid.uuid4().hex], [data.shape[1]], [ids.tobytes()], [data.tobytes()]]
+            values = [[f"{TaskContext.get().partitionId()}-{next(number)}"], [data.shape[1]], [ids.tobytes()], [data.tobytes()]]
             kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["block", "dim", "ids", "data"])
 
@@ -58,7 +66,7 @@ def pack(rows: DataFrame, most: int, dtype: str = "float32") -> DataFrame:
         for rest in held.values():
             yield block(*rest)
 
-    return rows.mapInArrow(run, "block string, dim int, ids binary, data binary")
+    return rows.sortWithinPartitions("id", "v").mapInArrow(run, "block string, dim int, ids binary, data binary")
 
 
 def float_type(rows: DataFrame) -> str:
@@ -79,7 +87,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, score_type: str, search:
     the best k of that block.  ``cache`` keeps what it likes from one pair to the next.
     """
     spark = candidates.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(spark, BATCH_BYTES)
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     left = candidates.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)))
     right = queries.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("q_slot"))

@@ -36,9 +36,40 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that ``materialize`` has written in this process, in order.
+_written: list[str] = []
+
+
+def written() -> int:
+    """A mark for ``drop_written``: how many tables have been written so far."""
+    return len(_written)
+
+
+def drop_written(spark: SparkSession, since: int) -> None:
+    """Deletes the tables written since a mark, but for the last: for a stage whose result that is."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for path in _written[since:-1]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    del _written[since:-1]
+
+
+#: Bytes of text or sets in one Arrow batch at most.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Limits Arrow batches by bytes, as rows may be long; a session's own smaller limit stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -124,11 +124,11 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     plan = plan_mix(docs, **options)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs") + F.when(F.col("cut") * 2 >= F.col("size"), 1).otherwise(0)).cast("int")
-    # rows equal in key and size are interchangeable, so they are paired by number
+    # rows equal in key and size are paired by number, in an order that reruns share
     twins = Window.partitionBy("mix_key", "size").orderBy("taken")
     plan = plan.select(F.col("mix_key").alias("__key"), F.col("size").alias("__size"), copies.alias("__copies"), F.row_number().over(twins).alias("__twin")).where(F.col("__copies") > 0)
     own = random_key(docs["doc_id"], docs["text"], options.get("seed", "mix-1")), word_count(docs["text"])
     keyed = docs.select(*[docs[c] for c in columns], own[0].alias("__own_key"), own[1].alias("__own_size"))
-    keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__own_key", "__own_size").orderBy(F.lit(0))))
+    keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__own_key", "__own_size").orderBy(F.xxhash64("text"))))
     joined = keyed.join(plan, (F.col("__own_key") == F.col("__key")) & (F.col("__own_size") == F.col("__size")) & (F.col("__n") == F.col("__twin")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
