@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, escape_html, is_blank, strip
+from ..functions.text import clean_text, escape_html, is_blank, nfkc, strip
 
 PAGE = ("doc_id", "page_num")
 
@@ -98,12 +98,17 @@ def lines_to_paragraphs(lines: DataFrame, layout: Layout = Layout(), **normalize
     merged = grouped.select(
         *PAGE,
         "para_no",
-        clean_text(F.array_join(F.transform("l", lambda x: x["text"]), ""), **normalize_options).alias("text"),
+        F.array_join(F.transform("l", lambda x: x["text"]), "").alias("_raw"),
         size.alias("size"),
         F.col("l")[0]["y0"].alias("y0"),
         (F.abs(F.col("l")[0]["x0"] - layout.center) < layout.center_tolerance).alias("is_center"),
     )
-    return merged.where(~is_blank(F.col("text"))).withColumn("type", paragraph_type(F.col("text"), F.col("size"), layout)).select(*PAGE, "para_no", "text", "type", "size", "y0", "is_center")
+    # the cleaned text comes out of an explode, so the filter and the type below don't compute it again
+    options = {"use_nfkc": True} | normalize_options
+    raw = nfkc(F.col("_raw")) if options["use_nfkc"] else F.col("_raw")
+    cleaned = F.transform(F.array(raw), lambda t: clean_text(t, **(options | {"use_nfkc": False})))
+    merged = merged.withColumn("text", F.explode(F.filter(cleaned, lambda t: ~is_blank(t))))
+    return merged.withColumn("type", paragraph_type(F.col("text"), F.col("size"), layout)).select(*PAGE, "para_no", "text", "type", "size", "y0", "is_center")
 
 
 def render_paragraph(text: Column, kind: Column, is_center: Column) -> Column:
