@@ -15,6 +15,7 @@ the input pass through unchanged, an own ``ids`` or ``decoded`` column is replac
 
 from __future__ import annotations
 
+import base64
 from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .vocab import Memo, broadcast_file, ranks_of, splitter
+from .common import bound_batches
+from .vocab import Memo, broadcast_file, ranks_of, release, splitter
 
 _MASK = (1 << 64) - 1
 _MIX = 0x9E3779B97F4A7C15
@@ -73,8 +75,8 @@ class PerfectHash:
         return -1
 
 
-class Codec:
-    """Encodes pre-tokens and decodes ids by one vocabulary."""
+class Encoder:
+    """Encodes pre-tokens by one vocabulary."""
 
     def __init__(self, content: bytes):
         ranks = ranks_of(content)
@@ -89,14 +91,7 @@ class Codec:
                 if a is not None and b is not None:
                     self.merges[a << 32 | b] = rank
         self.byte_pairs = [self.merges.get(a << 32 | b, -1) for a in self.byte_ids for b in self.byte_ids]
-        top = max(ranks.values()) + 1
-        entries = [b""] * top
-        for key, rank in ranks.items():
-            entries[rank] = key
-        self.flat = np.frombuffer(b"".join(entries), dtype=np.uint8)
-        self.lengths = np.array([len(x) for x in entries], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
-        self.memo = Memo(lambda piece: array("i", self.encode_piece(piece)).tobytes(), limit=300_000)  # ids packed, 4 bytes each
+        self.memo = Memo(lambda piece: array("i", self.encode_piece(piece)).tobytes(), limit=120_000)  # ids packed, 4 bytes each
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8")
@@ -139,6 +134,19 @@ class Codec:
                     heappush(heap, r << 32 | h)
         return tuple([x for x in ids if x >= 0])
 
+
+class Decoder:
+    """Turns ids into bytes; needs no more than the entries side by side."""
+
+    def __init__(self, content: bytes):
+        lines = [line.split() for line in content.splitlines() if line]
+        entries = [b""] * (max(int(rank) for _, rank in lines) + 1)
+        for entry, rank in lines:
+            entries[int(rank)] = base64.b64decode(entry)
+        self.flat = np.frombuffer(b"".join(entries), dtype=np.uint8)
+        self.lengths = np.array([len(x) for x in entries], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids -> all their bytes, and the length of each id's share."""
         size = self.lengths[ids]
@@ -149,8 +157,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec_of(content: bytes) -> Codec:
-    return Codec(content)
+def decoder_of(content: bytes) -> Decoder:
+    return Decoder(content)
 
 
 def _without(df: DataFrame, name: str) -> list[str]:
@@ -160,13 +168,14 @@ def _without(df: DataFrame, name: str) -> list[str]:
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``ids`` (array of int) to the columns ``keep`` (all by default)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "ids"]
+    bound_batches(docs.sparkSession)
     file = broadcast_file(docs.sparkSession, path)
     source = docs.select(*[docs[c] for c in keep], docs[text].alias("_encode"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches):
-        codec, split = codec_of(file.value), splitter(pattern)
-        look = codec.memo.__getitem__
+        encoder, split = Encoder(file.value), splitter(pattern)
+        look = encoder.memo.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -178,6 +187,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                     ends.append(at_id)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[f.name for f in schema.fields])
+        del encoder, look
+        release()
 
     return source.mapInArrow(run, schema)
 
@@ -191,13 +202,13 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     where = [c.lower() for c in keep].index("ids")
 
     def run(batches):
-        codec = codec_of(file.value)
+        decoder = decoder_of(file.value)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 lists = part.column(where)
                 ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                data, ends = codec.decode(ids)
+                data, ends = decoder.decode(ids)
                 marks = np.concatenate([[0], ends])
                 counts = np.array([len(x) for x in lists], dtype=np.int64)
                 cuts = marks[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)

@@ -39,8 +39,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 from .components import connected_components
+from .vocab import release
 
 GROUPS = 64
 CELL_BITS = 22
@@ -106,19 +107,16 @@ def count_cells(docs: DataFrame, words: int) -> np.ndarray:
     def squeeze(total: np.ndarray) -> pa.Array:
         import zstandard
 
-        return pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())
+        return pa.array([zstandard.compress(memoryview(total).cast("B"), 1)], pa.binary())
 
     def count(batches):
-        total, shingle = np.zeros(CELLS, dtype=np.uint32), Shingler(words)
+        total, shingle, one = np.zeros(CELLS, dtype=np.uint32), Shingler(words), np.uint32(1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                sets = [shingle(value.as_py()) for value in batch.column(0).slice(at, 2048)]
-                cells = (np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-                if len(cells) < CELLS // 8:
-                    np.add.at(total, cells, 1)
-                else:
-                    total += np.bincount(cells, minlength=CELLS).astype(np.uint32)
+            for value in batch.column(0):
+                np.add.at(total, (shingle(value.as_py()) >> np.uint64(64 - CELL_BITS)).view(np.int64), one)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), squeeze(total)], names=["part", "cells"])
+        del total
+        release()
 
     def sum_of(values) -> np.ndarray:
         import zstandard
@@ -397,8 +395,7 @@ def relabel(table: DataFrame, labels: DataFrame) -> DataFrame:
 
 def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; links are Jaccard >= num / den."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 1024 * 1024))
+    bound_batches(docs.sparkSession)
     table = materialize(describe(docs, count_cells(docs, words), words, num, den), "join-sets")
     full = table.where(F.col("n") > 0)
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a mention that count as its context, and the characters searched for them.
@@ -164,6 +164,7 @@ def row_key():
 
 def find_base(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, base (spans), context, of each row."""
+    bound_batches(docs.sparkSession)
     source = docs.select("doc_id", row_key().alias("row_key"), "text")
     schema = T.StructType([source.schema["doc_id"], source.schema["row_key"], T.StructField("base", _SPANS, False), T.StructField("context", _CONTEXT, False)])
     names = ("kind", "start", "end"), ("entity", "term", "start", "end", "near")

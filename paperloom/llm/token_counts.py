@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import bound_batches
 from .vocab import Memo, broadcast_file, ranks_of, splitter
 
 OFFSET = 2.7
@@ -82,6 +83,7 @@ def counter_of(content: bytes) -> Memo:
 
 def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of each document's whole text."""
+    bound_batches(docs.sparkSession)
     file = broadcast_file(docs.sparkSession, path)
     source = docs.select("doc_id", "text")
     schema = T.StructType([source.schema["doc_id"], T.StructField("n_pretokens", T.LongType(), False), T.StructField("n_tokens", T.LongType(), False)])

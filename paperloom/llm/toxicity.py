@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches
+
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‚‘’¿¡…–—"
 _SPACE = 1 << 24
 PREFIXES = (4, 5, 6)
@@ -152,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = 40
 
 def score_documents(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score of each whole text."""
+    bound_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c.lower() != column.lower()]
     source = docs.select(*[docs[c] for c in columns])
     schema = T.StructType([*source.schema.fields, T.StructField(column, T.DoubleType(), False)])

@@ -13,7 +13,7 @@ from paperloom.llm.vocab import Memo, ranks_of, read_file, splitter
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CONTENT = read_file(PATH)
 RANKS = ranks_of(CONTENT)
-CODEC = bpe.Codec(CONTENT)
+CODEC = bpe.Encoder(CONTENT)
 TIKTOKEN = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 TRICKY = ["", None, "a", "  two  spaces \n\n tail  ", "Ünïcödé çñß 中文 🙂🙃", "x" * 3000, " " * 500, "don't I'll <|endoftext|> 12345678", "a b " * 5000]
 
