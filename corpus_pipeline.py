@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, mixing, ngram_join, pii, quality
-from paperloom.llm.common import fold, materialize, table
+from paperloom.llm.common import drop_written, fold, materialize, table, written
 from paperloom.llm.queries import VOCABULARY
 
 #: SQL can express neither the classifier nor the encoding; the tests hold the stages against brute force.
@@ -42,9 +42,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "text"])
-    whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return bpe.decode_documents(encoded, path).select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), whole.alias("round_trip"))
+    hashed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    # written in between, so that a task never has an encoding and a decoding worker at once
+    encoded = materialize(bpe.encode_documents(hashed, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "_sha"]), "pipeline-ids")
+    decoded = bpe.decode_documents(encoded, path)
+    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("_sha")).alias("round_trip"))
 
 
 STAGES = [
@@ -59,5 +61,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        mark = written()
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_written(spark, mark)  # what the stage wrote on its way is not needed any more
     return docs
