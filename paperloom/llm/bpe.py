@@ -91,7 +91,7 @@ class Encoder:
                 if a is not None and b is not None:
                     self.merges[a << 32 | b] = rank
         self.byte_pairs = [self.merges.get(a << 32 | b, -1) for a in self.byte_ids for b in self.byte_ids]
-        self.memo = Memo(lambda piece: array("i", self.encode_piece(piece)).tobytes(), limit=120_000)  # ids packed, 4 bytes each
+        self.memo = Memo(lambda piece: array("i", self.encode_piece(piece)).tobytes(), limit=60_000)  # ids packed, 4 bytes each
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8")

@@ -59,7 +59,7 @@ def drop_written(spark: SparkSession, since: int) -> None:
 
 
 #: Bytes of text or sets in one Arrow batch at most.
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 2 * 1024 * 1024
 
 
 def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
