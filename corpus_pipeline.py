@@ -18,29 +18,44 @@ from paperloom.llm.queries import VOCABULARY
 ORACLE_SQL = None
 
 
+_begun = [0]
+
+
+def _begin(spark: SparkSession, first: bool = False) -> None:
+    """Drops what the stage before has written on its way: its result has been written and read again."""
+    if not first:
+        drop_written(spark, _begun[0])
+    _begun[0] = written()
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking accepts."""
+    _begin(spark, first=True)
     model = quality.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
     return quality.score_documents(docs, model, "_quality").where(F.col("_quality") >= quality.CUT).drop("_quality")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at a similarity of 0.8."""
+    _begin(spark)
     return ngram_join.one_of_each(docs, words=5, num=80, den=100)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with marks in place of personal data and of terms that reveal it."""
+    _begin(spark)
     return pii.sanitise(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as their source's target takes them."""
+    _begin(spark)
     return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
+    _begin(spark)
     path = public_tokenizers.path(VOCABULARY)
     hashed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     # written in between, so that a task never has an encoding and a decoding worker at once
@@ -61,7 +76,5 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        mark = written()
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        drop_written(spark, mark)  # what the stage wrote on its way is not needed any more
     return docs
