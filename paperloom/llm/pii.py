@@ -4,11 +4,12 @@ The patterns find protected entities (an e-mail address, an IP address, a card o
 number).  A term near an entity discloses it when, over the whole corpus, seeing the term says
 almost as much as seeing the entity: PMI(term, entity) / IC(entity) with document counts,
 
-    IC(e) = log2(N / df(e))        PMI(t, e) = log2(N * df(t, e) / (df(t) * df(e)))
+    IC(e) = log2(N / df(e))        PMI(t, e) = log2(P(e | t) * N / df(e))
 
 At ``generalise`` of it a term is replaced by a general mark, at ``remove`` it is taken out.
-Pairs seen in fewer than ``support`` different contexts are no evidence (copies of one text are
-one context).
+P(e | t) is df(t, e) / df(t), drawn towards independence, df(e) / N, with the weight of
+``support`` contexts: no pair is left out for standing in few contexts, it only counts for less.
+Copies of one text are one context, so they weigh as one.
 
 Scale.  Patterns run where a document is read, each in linear time of the text, so very long
 runs of digits or letters cost no more than others.  Only rows around entities (at most
@@ -218,16 +219,24 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.8,
     """(entity, term, action) of the pairs above the disclosure thresholds."""
     total = docs.count()
     mentions = found.where(F.size("context") > 0).select("doc_id", "row_key", F.explode("context").alias("c")).select("doc_id", "row_key", "c.entity", "c.term", "c.near")
-    joint = mentions.groupBy("entity", "term", "near").agg(F.count_distinct("doc_id", "row_key").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("df_both"), F.count("*").alias("contexts"))
-    joint = materialize(joint.where(F.col("contexts") >= support), "pii-joint")
+    # one context a document, however often it mentions the entity
+    joint = mentions.groupBy("entity", "term", "doc_id", "row_key").agg(F.min("near").alias("near")).groupBy("entity", "term").agg(F.count("*").alias("df_both"), F.count_distinct("near").alias("contexts"))
     entities = mentions.select("entity", "doc_id", "row_key").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
+    # P(e | t) is at most df_both / df_term, and df_term at least the documents found here: what can't
+    # reach the threshold by that needs no count over all documents
+    least = mentions.select("term", "doc_id", "row_key").distinct().groupBy("term").agg(F.count("*").alias("df_least"))
+    reach = F.col("df_both") * F.pow(F.lit(total) / F.col("df_entity"), F.lit(1 - generalise)) * 1.000001
+    joint = materialize(joint.join(entities, "entity").join(least, "term").where(F.col("df_least") <= reach), "pii-joint")
     terms = materialize(joint.select("term").distinct(), "pii-terms")
     if terms.isEmpty():
         counts = terms.withColumn("df_term", F.lit(1).cast("long"))
     else:
         counts = document_counts(docs, terms)
-    ratio = F.log2(F.lit(total) * F.col("df_both") / (F.col("df_term") * F.col("df_entity"))) / F.greatest(F.log2(F.lit(total) / F.col("df_entity")), F.lit(1e-9))
-    scored = joint.join(entities, "entity").join(counts, "term").withColumn("ratio", ratio).where(F.col("ratio") >= generalise)
+    # documents of the term in the measure of contexts, in which copies are one
+    seen = F.col("contexts") * F.col("df_term") / F.col("df_both")
+    given = (F.col("contexts") + support * F.col("df_entity") / F.lit(total)) / (seen + support)
+    ratio = F.log2(F.lit(total) * given / F.col("df_entity")) / F.greatest(F.log2(F.lit(total) / F.col("df_entity")), F.lit(1e-9))
+    scored = joint.join(counts, "term").withColumn("ratio", ratio).where(F.col("ratio") >= generalise)
     return scored.select("entity", "term", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action"))
 
 

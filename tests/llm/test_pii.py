@@ -101,6 +101,13 @@ def test_copies_are_no_evidence(spark, documents):
     assert all(r.terms == [] for r in pii.find_spans(docs).collect())
 
 
+def test_one_context_is_evidence_too(spark, documents):
+    plain = [(i, f"plain text note number {i}") for i in range(2000)]
+    docs = documents(plain + [(5000, "plain note glimbrook sue@corp.com text")])
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[5000] == "plain note [TERM] [EMAIL] text"
+
+
 def test_empty_table(spark, documents):
     empty = documents([(1, "x")]).limit(0)
     assert pii.digest(pii.find_spans(empty)).count() == 0 and pii.sanitise(empty).count() == 0
