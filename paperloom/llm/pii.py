@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and terms that reveal the protected entities.
 
 The patterns find protected entities (an e-mail address, an IP address, a card or a phone
-number).  A term near an entity discloses it when, over the whole corpus, seeing the term says
+number).  A term in a document of an entity discloses it when, over the whole corpus, seeing the term says
 almost as much as seeing the entity: PMI(term, entity) / IC(entity) with document counts,
 
     IC(e) = log2(N / df(e))        PMI(t, e) = log2(P(e | t) * N / df(e))
@@ -9,23 +9,26 @@ almost as much as seeing the entity: PMI(term, entity) / IC(entity) with documen
 At ``generalise`` of it a term is replaced by a general mark, at ``remove`` it is taken out.
 P(e | t) is df(t, e) / df(t), drawn towards independence, df(e) / N, with the weight of
 ``support`` contexts: no pair is left out for standing in few contexts, it only counts for less.
-Copies of one text are one context, so they weigh as one.
+Copies of one text are one context, so they weigh as one: the words beside the mention tell.
+A flagged term goes wherever it stands in the documents of its entity.
 
 Scale.  Patterns run where a document is read, each in linear time of the text, so very long
-runs of digits or letters cost no more than others.  Only rows around entities (at most
-``2 * WINDOW`` terms a mention) are shuffled; all shuffles pre-aggregate or are keyed by
-(entity, term), and the corpus count of terms covers every document but keeps only terms that
-can matter.  Those are broadcast only up to ``BROADCAST_TERMS`` after counting them; beyond that
-all counts are shuffled and joined.
+runs of digits or letters cost no more than others.  Only documents with entities are kept aside
+and only their terms shuffled, those that are too frequent to reach the threshold not beyond a
+first count; the corpus count of the others covers every document.  They are broadcast only up to
+``BROADCAST_TERMS`` after counting them; beyond that all counts are shuffled and joined.  A
+document of many entities gives each of them with each of its rare terms.
 
 Defined results.  Null text is empty and has no spans.  Spans of one kind never overlap; spans of
-different kinds may.  Rows equal in id and text get equal spans.
+different kinds may.  A term is what white space separates, without punctuation at its ends; where
+a script writes no spaces that is a whole run.  Rows equal in id and text get equal spans.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from pyspark.sql import types as T
 from .common import bound_batches, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of a mention that count as its context, and the characters searched for them.
+#: Words on either side of a mention that tell its context from others, and the characters searched for them.
 WINDOW, REACH = 5, 120
 #: Candidate terms sent to all workers at most (8 bytes each).
 BROADCAST_TERMS = 1_000_000
@@ -134,55 +137,77 @@ def entity_of(kind: str, value: str) -> int:
 _TOKEN = re.compile(r"\S+")
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term, start, end, context) of the terms around each mention."""
+def mentions_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """(entity, context) of each mention."""
     out = []
-    taken = [(a, b) for _, a, b in spans]
     for kind, a, b in spans:
-        lo, hi = max(0, a - REACH), min(len(text), b + REACH)
-        left = [(m.start() + lo, m.end() + lo) for m in _TOKEN.finditer(text[lo:a]) if m.start() > 0 or lo == 0][-WINDOW:]
-        right = [(m.start() + b, m.end() + b) for m in _TOKEN.finditer(text[b:hi]) if m.end() + b < hi or hi == len(text)][:WINDOW]
-        entity, near = entity_of(kind, text[a:b]), _hash(" ".join(text[x:y] for x, y in left + right))
-        for x, y in left + right:
-            token = text[x:y]
-            term = term_of(token)
-            if term and not any(x < q and p < y for p, q in taken):
-                x += len(token) - len(token.lstrip(_PUNCT))
-                y -= len(token) - len(token.rstrip(_PUNCT))
-                out.append((entity, _hash(term), x, y, near))
+        around = text[max(0, a - REACH) : a].split()[-WINDOW:] + text[b : b + REACH].split()[:WINDOW]
+        out.append((entity_of(kind, text[a:b]), _hash(" ".join(around))))
     return out
 
 
-_CONTEXT = T.ArrayType(T.StructType([T.StructField(n, t, False) for n, t in (("entity", T.LongType()), ("term", T.LongType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("near", T.LongType()))]), False)
+def occurrences(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(term, start, end) of all terms outside the spans, in order."""
+    taken, at, end = sorted((a, b) for _, a, b in spans), 0, 0
+    for m in _TOKEN.finditer(text):
+        x, y = m.span()
+        while at < len(taken) and taken[at][0] < y:
+            end = max(end, taken[at][1])
+            at += 1
+        if end <= x and (term := term_of(token := m.group())):
+            yield _hash(term), x + len(token) - len(token.lstrip(_PUNCT)), y - len(token) + len(token.rstrip(_PUNCT))
+
+
+_MENTIONS = T.ArrayType(T.StructType([T.StructField("entity", T.LongType(), False), T.StructField("near", T.LongType(), False)]), False)
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)]), False)
 _PA_SPANS = pa.list_(pa.struct([pa.field("kind", pa.string(), False), pa.field("start", pa.int32(), False), pa.field("end", pa.int32(), False)]))
-_PA_CONTEXT = pa.list_(pa.struct([pa.field("entity", pa.int64(), False), pa.field("term", pa.int64(), False), pa.field("start", pa.int32(), False), pa.field("end", pa.int32(), False), pa.field("near", pa.int64(), False)]))
+_PA_MENTIONS = pa.list_(pa.struct([pa.field("entity", pa.int64(), False), pa.field("near", pa.int64(), False)]))
+_TERMS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False), T.StructField("action", T.StringType(), False)]), False)
+_PA_TERMS = pa.list_(pa.struct([pa.field("start", pa.int32(), False), pa.field("end", pa.int32(), False), pa.field("action", pa.string(), False)]))
 
 
 def row_key():
     return F.xxhash64("doc_id", "text")
 
 
+def doc_key():
+    """The id as text; a null id is empty, and told from an empty one by ``row_key``."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+
 def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, base (spans), context, of each row."""
+    """doc_id, row_key, base (spans), mentions, body (the text if it has mentions) of each row."""
     bound_batches(docs.sparkSession)
     source = docs.select("doc_id", row_key().alias("row_key"), "text")
-    schema = T.StructType([source.schema["doc_id"], source.schema["row_key"], T.StructField("base", _SPANS, False), T.StructField("context", _CONTEXT, False)])
-    names = ("kind", "start", "end"), ("entity", "term", "start", "end", "near")
+    schema = T.StructType([source.schema["doc_id"], source.schema["row_key"], T.StructField("base", _SPANS, False), T.StructField("mentions", _MENTIONS, False), T.StructField("body", T.StringType())])
+    names = ("kind", "start", "end"), ("entity", "near")
 
     def run(batches):
         for batch in batches:
-            base, around = [], []
+            base, mentions, body = [], [], []
             for value in batch.column(2):
                 text = value.as_py() or ""
                 spans = base_spans(text)
                 base.append([dict(zip(names[0], s, strict=True)) for s in spans])
-                around.append([dict(zip(names[1], c, strict=True)) for c in contexts(text, spans)] if spans else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, _PA_SPANS), pa.array(around, _PA_CONTEXT)], names=schema.names)
+                mentions.append([dict(zip(names[1], m, strict=True)) for m in mentions_of(text, spans)])
+                body.append(text if spans else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, _PA_SPANS), pa.array(mentions, _PA_MENTIONS), pa.array(body, pa.string())], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
+def held_terms(rows: DataFrame) -> DataFrame:
+    """(doc, row_key, base, body) -> doc, row_key, term of each row's distinct terms."""
+
+    def run(batches):
+        for batch in batches:
+            for doc, key, base, body in zip(*batch.columns, strict=True):
+                terms = sorted({t for t, _, _ in occurrences(body.as_py(), [tuple(s.values()) for s in base.as_py()])})
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(terms), pa.string()), pa.array([key.as_py()] * len(terms), pa.int64()), pa.array(terms, pa.int64())], names=["doc", "row_key", "term"])
+
+    return rows.select("doc", "row_key", "base", "body").mapInArrow(run, "doc string, row_key long, term long").distinct()
+
+
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term -> df_term over all documents, for the given distinct terms."""
     spark = docs.sparkSession
@@ -216,44 +241,57 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
-    """(entity, term, action) of the pairs above the disclosure thresholds."""
-    total = docs.count()
-    mentions = found.where(F.size("context") > 0).select("doc_id", "row_key", F.explode("context").alias("c")).select("doc_id", "row_key", "c.entity", "c.term", "c.near")
+    """(doc, row_key, entity, term, action) of the pairs above the disclosure thresholds, in each row that holds both."""
+    total, row = docs.count(), ["doc", "row_key"]
+    rows = found.where(F.size("mentions") > 0).withColumn("doc", doc_key())
     # one context a document, however often it mentions the entity
-    joint = mentions.groupBy("entity", "term", "doc_id", "row_key").agg(F.min("near").alias("near")).groupBy("entity", "term").agg(F.count("*").alias("df_both"), F.count_distinct("near").alias("contexts"))
-    entities = mentions.select("entity", "doc_id", "row_key").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    # P(e | t) is at most df_both / df_term, and df_term at least the documents found here: what can't
-    # reach the threshold by that needs no count over all documents
-    least = mentions.select("term", "doc_id", "row_key").distinct().groupBy("term").agg(F.count("*").alias("df_least"))
-    reach = F.col("df_both") * F.pow(F.lit(total) / F.col("df_entity"), F.lit(1 - generalise)) * 1.000001
-    joint = materialize(joint.join(entities, "entity").join(least, "term").where(F.col("df_least") <= reach), "pii-joint")
-    terms = materialize(joint.select("term").distinct(), "pii-terms")
+    mentions = rows.select(*row, F.explode("mentions").alias("m")).groupBy(*row, F.col("m.entity").alias("entity")).agg(F.min("m.near").alias("near"))
+    # P(e | t) is at most df_both / df_term, so a term of more documents than ``most`` can't reach the threshold
+    most = F.col("df_entity") * F.pow(F.lit(total) / F.col("df_entity"), F.lit(1 - generalise)) * 1.000001
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("df_entity")).withColumn("most", most)
+    mentions = materialize(mentions.join(entities, "entity"), "pii-mentions")
+    bounds = mentions.groupBy(*row).agg(F.max("most").alias("bound"))
+    held = materialize(held_terms(rows), "pii-held")
+    least = held.groupBy("term").agg(F.count("*").alias("df_least"))
+    rare = materialize(held.join(least, "term").join(bounds, row).where(F.col("df_least") <= F.col("bound")).select(*row, "term", "bound"), "pii-rare")
+    terms = materialize(rare.select("term").distinct(), "pii-terms")
     if terms.isEmpty():
         counts = terms.withColumn("df_term", F.lit(1).cast("long"))
     else:
         counts = document_counts(docs, terms)
+    counted = rare.join(counts, "term").where(F.col("df_term") <= F.col("bound"))
+    pairs = materialize(counted.join(mentions, row).where(F.col("df_term") <= F.col("most")).select(*row, "entity", "term", "near", "df_term", "df_entity"), "pii-pairs")
+    joint = pairs.groupBy("entity", "term", "df_term", "df_entity").agg(F.count("*").alias("df_both"), F.count_distinct("near").alias("contexts"))
     # documents of the term in the measure of contexts, in which copies are one
     seen = F.col("contexts") * F.col("df_term") / F.col("df_both")
     given = (F.col("contexts") + support * F.col("df_entity") / F.lit(total)) / (seen + support)
     ratio = F.log2(F.lit(total) * given / F.col("df_entity")) / F.greatest(F.log2(F.lit(total) / F.col("df_entity")), F.lit(1e-9))
-    scored = joint.join(counts, "term").withColumn("ratio", ratio).where(F.col("ratio") >= generalise)
-    return scored.select("entity", "term", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action"))
+    flagged = joint.withColumn("ratio", ratio).where(F.col("ratio") >= generalise)
+    flagged = flagged.select("entity", "term", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action"))
+    return pairs.select(*row, "entity", "term").join(flagged, ["entity", "term"])
 
 
 def find_spans(docs: DataFrame, **thresholds) -> DataFrame:
     """doc_id, row_key, base, terms (array of start, end, action) of each row."""
     found = materialize(find_base(docs), "pii-base")
     flagged = disclosing_terms(docs, found, **thresholds)
-    places = (
-        found.where(F.size("context") > 0)
-        .select("doc_id", "row_key", F.explode("context").alias("c"))
-        .select("doc_id", "row_key", "c.entity", "c.term", "c.start", "c.end")
-        .join(flagged, ["entity", "term"])
-        .groupBy(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"))
-        .agg(F.sort_array(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
-    )
-    joined = found.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_key") == F.col("_k")), "left")
-    return joined.select("doc_id", "row_key", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")).alias("terms"))
+    # of two actions "remove", the later by name, is the stronger
+    flagged = flagged.groupBy("doc", "row_key", "term").agg(F.max("action").alias("action"))
+    places = flagged.groupBy(F.col("doc").alias("_d"), F.col("row_key").alias("_k")).agg(F.collect_list(F.struct("term", "action")).alias("flagged"))
+    joined = found.join(places, (doc_key() == F.col("_d")) & (F.col("row_key") == F.col("_k")), "left")
+    source = joined.select("doc_id", "row_key", "base", F.when(F.col("flagged").isNotNull(), F.col("body")).alias("body"), "flagged")
+    schema = T.StructType([*source.schema.fields[:3], T.StructField("terms", _TERMS, False)])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for base, body, flags in zip(*batch.columns[2:], strict=True):
+                action = {f["term"]: f["action"] for f in flags.as_py() or []}
+                spans = [tuple(s.values()) for s in base.as_py()] if action else []
+                out.append([{"start": x, "end": y, "action": action[t]} for t, x, y in occurrences(body.as_py(), spans) if t in action] if action else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, _PA_TERMS)], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:

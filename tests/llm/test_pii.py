@@ -108,6 +108,15 @@ def test_one_context_is_evidence_too(spark, documents):
     assert clean[5000] == "plain note [TERM] [EMAIL] text"
 
 
+def test_terms_far_from_the_entity(spark, documents):
+    far = "filler words stand here one after another until the end of it "
+    plain = [(i, f"{far}plain text note number {i}") for i in range(2000)]
+    docs = documents(plain + [(5000, f"glimbrook sue@corp.com {far}glimbrook, {far}(Quandrel)"), (5001, "glimbrook alone")])
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[5000] == f"[TERM] [EMAIL] {far}[TERM], {far}([TERM])"
+    assert clean[5001] == "glimbrook alone"
+
+
 def test_empty_table(spark, documents):
     empty = documents([(1, "x")]).limit(0)
     assert pii.digest(pii.find_spans(empty)).count() == 0 and pii.sanitise(empty).count() == 0
