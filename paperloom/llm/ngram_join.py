@@ -159,7 +159,7 @@ def describe(docs: DataFrame, cells: np.ndarray, words: int, num: int, den: int)
                     number += 1
                     size.append(n)
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    point.append(np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16).tobytes())
+                    point.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
                     take = n - needed(n, num, den) + 1 if n else 0
                     count = cells[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                     lead.append(s[np.lexsort((s, count))[:take]].view(np.int64))
@@ -312,7 +312,7 @@ def bounded(points: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
             if not batch.num_rows:
                 continue
             na, nb = (np.asarray(batch.column(i)).astype(np.int64) for i in (2, 3))
-            pa_, pb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, GROUPS) for i in (4, 5))
+            pa_, pb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, GROUPS) for i in (4, 5))
             ok = np.minimum(pa_, pb).sum(axis=1, dtype=np.int64) >= pair_needed(na + nb, num, den)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
 
@@ -335,7 +335,7 @@ def _groups(batches, columns: int) -> Iterator[tuple[tuple, list[tuple]]]:
 
 def _tree(rows: list[tuple]) -> CountTree:
     """rows: (rid, label, n, point, ...)."""
-    points = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint16).reshape(-1, GROUPS)
+    points = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint32).reshape(-1, GROUPS)
     return CountTree(points, np.array([r[2] for r in rows]), np.array([r[1] for r in rows], dtype=np.int64))
 
 

@@ -96,6 +96,14 @@ def test_tree_gives_every_reachable_pair(n):
     assert got == sorted((i, j) for i in range(n) for j in range(i + 1, n) if labels[i] != labels[j] and need(i, j))
 
 
+def test_points_of_very_large_sets(spark, documents, monkeypatch):
+    """Groups of more than 65,535 shingles: one group stands for 64 such groups of a longer text."""
+    monkeypatch.setattr(ngram_join, "GROUPS", 1)
+    words = [f"v{i}" for i in range(90_000)]
+    docs = documents([(1, " ".join(words)), (2, " ".join(words[:-5] + ["x"] * 5))])
+    assert {r.component_id for r in ngram_join.similar_documents(docs, 3, 90, 100).collect()} == {1}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(0, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(500, 900), (900, 700)], "a long, b long"))
     got = {r.id: r.label for r in connected_components(links).collect()}
