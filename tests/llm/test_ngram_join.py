@@ -101,6 +101,9 @@ def test_points_of_very_large_sets(spark, documents, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUPS", 1)
     words = [f"v{i}" for i in range(90_000)]
     docs = documents([(1, " ".join(words)), (2, " ".join(words[:-5] + ["x"] * 5))])
+    sets = ngram_join.describe(docs, np.zeros(ngram_join.CELLS, dtype=np.uint8), 3, 90, 100).collect()
+    tree = ngram_join._tree([(r.rid, r.rid, r.n, r.point) for r in sets])
+    assert len(list(tree.pairs(tree, 90, 100))) == 1
     assert {r.component_id for r in ngram_join.similar_documents(docs, 3, 90, 100).collect()} == {1}
 
 
