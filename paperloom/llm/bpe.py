@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import bound_batches
-from .vocab import Memo, broadcast_file, ranks_of, release, splitter
+from .vocab import Memo, broadcast_file, ranks_of, splitter
 
 _MASK = (1 << 64) - 1
 _MIX = 0x9E3779B97F4A7C15
 #: Documents handled at once in a worker.
 SLICE = 256
+#: Bytes of a generation of the cache; a worker keeps two of them at most.
+CACHE_BYTES = 32 << 20
 
 
 class PerfectHash:
@@ -91,7 +93,11 @@ class Encoder:
                 if a is not None and b is not None:
                     self.merges[a << 32 | b] = rank
         self.byte_pairs = [self.merges.get(a << 32 | b, -1) for a in self.byte_ids for b in self.byte_ids]
-        self.memo = Memo(lambda piece: array("i", self.encode_piece(piece)).tobytes(), limit=60_000)  # ids packed, 4 bytes each
+        self.memo = Memo(self.packed, most=CACHE_BYTES)
+
+    def packed(self, piece: str) -> bytes:
+        """Ids of a pre-token, 4 bytes each."""
+        return array("i", self.encode_piece(piece)).tobytes()
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8")
@@ -156,6 +162,14 @@ class Decoder:
         return self.flat[shift + np.arange(total)], ends
 
 
+@lru_cache(maxsize=1)
+def encoder_of(content: bytes) -> Encoder:
+    """A worker's encoder: its tables and cache serve all tasks that the worker runs."""
+    encoder = Encoder(content)
+    ranks_of.cache_clear()
+    return encoder
+
+
 @lru_cache(maxsize=2)
 def decoder_of(content: bytes) -> Decoder:
     return Decoder(content)
@@ -174,8 +188,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches):
-        encoder, split = Encoder(file.value), splitter(pattern)
-        look = encoder.memo.__getitem__
+        look, split = encoder_of(file.value).memo.__getitem__, splitter(pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -187,8 +200,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                     ends.append(at_id)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[f.name for f in schema.fields])
-        del encoder, look
-        release()
 
     return source.mapInArrow(run, schema)
 

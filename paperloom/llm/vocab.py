@@ -61,11 +61,14 @@ def release() -> None:
 
 
 class Memo(dict):
-    """A bounded cache: two generations, the older one is dropped when the younger is full."""
+    """A cache bounded by bytes: two generations, the older one is dropped when the younger is full."""
 
-    def __init__(self, compute: Callable, limit: int = 150_000, longest: int = 64):
+    #: Bytes that an entry takes besides its key and value: two object heads, a slot and its share of free slots.
+    ENTRY = 150
+
+    def __init__(self, compute: Callable, most: int = 24 << 20, longest: int = 64):
         super().__init__()
-        self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
+        self.compute, self.most, self.longest, self.old, self.room = compute, most, longest, {}, most
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -73,8 +76,11 @@ class Memo(dict):
             value = self.compute(key)
             if len(key) > self.longest:
                 return value
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if self.room <= 0:
+            self.old = {}
+            self.old.update(self)
             self.clear()
+            self.room = self.most
+        self.room -= self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
         self[key] = value
         return value
