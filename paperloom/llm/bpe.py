@@ -9,8 +9,11 @@ Scale.  No shuffle: each document is encoded where it is read.  Memory in a work
 vocabulary, the bounded cache and one slice of documents.  The vocabulary file is read on the
 driver and broadcast; its size is fixed.
 
-Defined results.  A null or empty text has no ids and decodes to no bytes.  All other columns of
-the input pass through unchanged, an own ``ids`` or ``decoded`` column is replaced.
+Defined results.  A null or empty text has no ids and decodes to no bytes; a very long text is cut
+into pre-tokens bit by bit, a very long pre-token costs n log n.  Of equal ranks the leftmost merges
+first.  Each row, repeated or with a null id, gives one row; an empty table gives none.  All other
+columns of the input pass through unchanged, an own ``ids`` or ``decoded`` column is replaced.
+Letters and digits are those that tiktoken knows, whatever version of Unicode ``regex`` has.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import bound_batches
-from .vocab import Memo, broadcast_file, ranks_of, splitter
+from .vocab import Memo, broadcast_file, ranks_of, splitter, unlike_letters
 
 _MASK = (1 << 64) - 1
 _MIX = 0x9E3779B97F4A7C15
@@ -86,59 +89,64 @@ class Encoder:
         self.hash = PerfectHash(keys)
         self.id_at = [ranks[k] for k in self.hash.keys]
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.bits = max(ranks.values()).bit_length()
         self.merges: dict[int, int] = {}
         for key, rank in ranks.items():
             for i in range(1, len(key)):
                 a, b = ranks.get(key[:i]), ranks.get(key[i:])
                 if a is not None and b is not None:
-                    self.merges[a << 32 | b] = rank
-        self.byte_pairs = [self.merges.get(a << 32 | b, -1) for a in self.byte_ids for b in self.byte_ids]
+                    self.merges[a << self.bits | b] = rank
+        self.byte_pairs = [self.merges.get(a << self.bits | b, -1) for a in self.byte_ids for b in self.byte_ids]
         self.memo = Memo(self.packed, most=CACHE_BYTES)
 
     def packed(self, piece: str) -> bytes:
         """Ids of a pre-token, 4 bytes each."""
         return array("i", self.encode_piece(piece)).tobytes()
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def encode_piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8")
         at = self.hash.find(data)
-        return (self.id_at[at],) if at >= 0 else self.merge(data)
+        return [self.id_at[at]] if at >= 0 else self.merge(data)
 
-    def merge(self, data: bytes) -> tuple[int, ...]:
+    def merge(self, data: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals, over a doubly linked list.
 
         ``merged[i]`` is the rank that i and its successor merge to, -1 if none.  A heap entry
-        (rank, i) packed in one number is out of date when ``merged[i]`` is no longer its rank.
+        (rank, i) packed in one number, small for all but very long pre-tokens, is out of date
+        when ``merged[i]`` is no longer its rank.
         """
-        n, get, first = len(data), self.merges.get, self.byte_pairs
-        ids = [self.byte_ids[b] for b in data]
-        merged = [first[a << 8 | b] for a, b in zip(data, data[1:], strict=False)]
-        heap = [r << 32 | i for i, r in enumerate(merged) if r >= 0]
+        n, bits, get, first = len(data), self.bits, self.merges.get, self.byte_pairs
+        shift = 13 if n < 8192 else 32
+        mask = (1 << shift) - 1
+        ids = [*map(self.byte_ids.__getitem__, data)]
+        merged = [first[a << 8 | b] for a, b in zip(data, data[1:])]  # noqa: B905
+        heap = [r << shift | i for i, r in enumerate(merged) if r >= 0]
         merged.append(-1)
         heapify(heap)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             entry = heappop(heap)
-            rank, i = entry >> 32, entry & 0xFFFFFFFF
+            i = entry & mask
+            rank = entry >> shift
             if merged[i] != rank:
                 continue
             j = nxt[i]
-            ids[i], ids[j] = rank, -1
-            merged[j] = -1
-            k = nxt[i] = nxt[j]
-            r = -1
+            ids[i] = rank
+            ids[j] = merged[j] = -1
+            nxt[i] = k = nxt[j]
             if k < n:
                 prv[k] = i
-                r = get(rank << 32 | ids[k], -1)
+                merged[i] = r = get(rank << bits | ids[k], -1)
                 if r >= 0:
-                    heappush(heap, r << 32 | i)
-            merged[i] = r
+                    heappush(heap, r << shift | i)
+            else:
+                merged[i] = -1
             h = prv[i]
             if h >= 0:
-                r = merged[h] = get(ids[h] << 32 | rank, -1)
+                merged[h] = r = get(ids[h] << bits | rank, -1)
                 if r >= 0:
-                    heappush(heap, r << 32 | h)
-        return tuple([x for x in ids if x >= 0])
+                    heappush(heap, r << shift | h)
+        return [x for x in ids if x >= 0]
 
 
 class Decoder:
@@ -187,8 +195,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     source = docs.select(*[docs[c] for c in keep], docs[text].alias("_encode"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
+    unlike = unlike_letters()
+
     def run(batches):
-        look, split = encoder_of(file.value).memo.__getitem__, splitter(pattern)
+        look, split = encoder_of(file.value).memo.__getitem__, splitter(pattern, unlike)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)

@@ -13,7 +13,9 @@ so each pre-token has a segmentation.
 Scale.  No shuffle: a worker keeps one trie and starts a new one past ``MAX_NODES``, so memory is
 bounded and only repeated work depends on the corpus.
 
-Defined results.  Null and empty texts count 0 tokens.
+Defined results.  Null and empty texts count 0 tokens; a very long text is cut into pre-tokens bit
+by bit.  Of segmentations with equal scores the one with the fewest tokens counts.  Each row, repeated
+or with a null id, gives one row; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import bound_batches
-from .vocab import Memo, broadcast_file, ranks_of, splitter
+from .vocab import Memo, broadcast_file, ranks_of, splitter, unlike_letters
 
 OFFSET = 2.7
 MICRO = 1_000_000
@@ -88,8 +90,10 @@ def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     source = docs.select("doc_id", "text")
     schema = T.StructType([source.schema["doc_id"], T.StructField("n_pretokens", T.LongType(), False), T.StructField("n_tokens", T.LongType(), False)])
 
+    unlike = unlike_letters()
+
     def run(batches):
-        look, split = counter_of(file.value).__getitem__, splitter(pattern)
+        look, split = counter_of(file.value).__getitem__, splitter(pattern, unlike)
         for batch in batches:
             pieces, tokens = [], []
             for value in batch.column(1):

@@ -8,14 +8,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from paperloom.llm import bpe, token_counts
-from paperloom.llm.vocab import Memo, ranks_of, read_file, splitter
+from paperloom.llm.vocab import Memo, ranks_of, read_file, splitter, unlike_letters
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CONTENT = read_file(PATH)
 RANKS = ranks_of(CONTENT)
 CODEC = bpe.Encoder(CONTENT)
+SPLIT = splitter(public_tokenizers.PATTERN, unlike_letters())
 TIKTOKEN = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
-TRICKY = ["", None, "a", "  two  spaces \n\n tail  ", "Ünïcödé çñß 中文 🙂🙃", "x" * 3000, " " * 500, "don't I'll <|endoftext|> 12345678", "a b " * 5000]
+TRICKY = ["", None, "a", "  two  spaces \n\n tail  ", "Ünïcödé çñß 中文 🙂🙃", "x" * 3000, " " * 500, "don't I'll <|endoftext|> 12345678", "a b " * 5000, "\U00033344대 \ua7ce1", "x\U000323b0y"]
 
 
 def test_hash_is_minimal_and_perfect():
@@ -28,7 +29,7 @@ def test_hash_is_minimal_and_perfect():
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_pieces_equal_tiktoken(text):
-    ids = [i for part in splitter(public_tokenizers.PATTERN)(text) for p in part for i in CODEC.encode_piece(p)]
+    ids = [i for part in SPLIT(text) for p in part for i in CODEC.encode_piece(p)]
     assert ids == TIKTOKEN.encode_ordinary(text)
 
 
@@ -60,7 +61,7 @@ def test_lazy_split_equals_whole(monkeypatch):
     monkeypatch.setattr("paperloom.llm.vocab.LAZY_CHARS", 10)
     monkeypatch.setattr("paperloom.llm.vocab.LAZY_PIECES", 3)
     text = "one two  three\n four five"
-    assert [p for part in splitter(public_tokenizers.PATTERN)(text) for p in part] == __import__("regex").findall(public_tokenizers.PATTERN, text)
+    assert [p for part in SPLIT(text) for p in part] == __import__("regex").findall(public_tokenizers.PATTERN, text)
 
 
 def test_memo_stays_bounded():
@@ -95,18 +96,36 @@ def test_trie_shares_prefixes():
     assert len(trie.score) == 5  # root and one node for each of a, ab, aba, abab
 
 
-def test_token_counts_query(spark, documents):
-    docs = documents([(i, t) for i, t in enumerate(TRICKY)])
+def test_token_counts(spark, documents):
+    docs = documents([(i, t, "s", 5) for i, t in enumerate(TRICKY)] + [(0, "", "s", 5), (None, "a b", "s", 5)], ", N_Tokens int")
     scores = token_counts.unigram_scores(RANKS)
-    for r in token_counts.count_tokens(docs, PATH, public_tokenizers.PATTERN).collect():
-        pieces = [p for part in splitter(public_tokenizers.PATTERN)(TRICKY[r.doc_id] or "") for p in part]
+    got = token_counts.count_tokens(docs, PATH, public_tokenizers.PATTERN).collect()
+    assert len(got) == len(TRICKY) + 2
+    for r in got:
+        text = "a b" if r.doc_id is None else TRICKY[r.doc_id] or ""
+        pieces = [p for part in SPLIT(text) for p in part]
         assert r.n_pretokens == len(pieces)
-        if len(TRICKY[r.doc_id] or "") < 2000:
+        if len(text) < 2000:
             assert r.n_tokens == sum(brute_count(p.encode(), scores) for p in pieces)
     assert token_counts.count_tokens(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_token_counts_query(spark, sf_dir):
+    from paperloom.llm import queries
+
+    scores, known = token_counts.unigram_scores(RANKS), {}
+
+    def count(piece):
+        if piece not in known:
+            known[piece] = brute_count(piece.encode(), scores)
+        return known[piece]
+
+    got = sorted(tuple(r) for r in queries.op1_token_counts(spark, sf_dir).collect())
+    texts = [(r.doc_id, [p for part in SPLIT(r.text or "") for p in part]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert got == sorted((i, len(pieces), sum(map(count, pieces))) for i, pieces in texts)
+
+
 @pytest.mark.parametrize("text", TRICKY)
 def test_whole_texts(text):
-    ids = [i for part in splitter(public_tokenizers.PATTERN)(text or "") for p in part for i in CODEC.encode_piece(p)]
+    ids = [i for part in SPLIT(text or "") for p in part for i in CODEC.encode_piece(p)]
     assert ids == TIKTOKEN.encode_ordinary(text or "")
