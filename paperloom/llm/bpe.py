@@ -31,51 +31,56 @@ from pyspark.sql import types as T
 from .common import bound_batches
 from .vocab import Memo, broadcast_file, ranks_of, splitter, unlike_letters
 
-_MASK = (1 << 64) - 1
-_MIX = 0x9E3779B97F4A7C15
+_MASK = (1 << 128) - 1
+_MIX = 0x9E3779B97F4A7C15F39CC0605CEDC835
 #: Documents handled at once in a worker.
 SLICE = 256
-#: Bytes of a generation of the cache; a worker keeps two of them at most.
+#: Bytes of a generation of the cache by default; a worker keeps two of them at most.
 CACHE_BYTES = 32 << 20
 
 
 class PerfectHash:
-    """Minimal perfect hash: n keys -> 0..n-1; other keys are told apart by comparing."""
+    """Minimal perfect hash: n keys -> 0..n-1; other keys are told apart by comparing.
 
-    def __init__(self, keys: list[bytes], slack: float = 2.0):
+    Level after level, keys that are alone in their slot are placed there.  A level reads its slot
+    from bits of a 128-bit hash of its own where there are enough, else from a rehash.
+    """
+
+    def __init__(self, keys: list[bytes]):
         import xxhash
 
-        self.digest = xxhash.xxh3_64_intdigest
-        hashes = np.array([self.digest(k) for k in keys], dtype=np.uint64)
-        left, placed, self.levels = np.arange(len(keys)), 0, []
-        self.order = np.zeros(len(keys), dtype=np.int64)
-        while len(left):
+        self.digest = xxhash.xxh3_128_intdigest
+        hashes = [self.digest(k) for k in keys]
+        left, placed, shift, self.levels = list(range(len(keys))), 0, 0, []
+        order: list[int] = []
+        while left:
             if len(self.levels) > 200:
                 raise ValueError("two keys share a hash")
-            salt, size = (len(self.levels) + 1) * 0xD1B54A32D192ED03 & _MASK, max(2, int(len(left) * slack))
-            slots = self._slots(hashes[left], salt, size)
-            alone = np.bincount(slots, minlength=size)[slots] == 1
-            rank = np.full(size, -1, dtype=np.int32)
-            used = np.zeros(size, dtype=bool)
-            used[slots[alone]] = True
-            rank[used] = placed + np.arange(used.sum(), dtype=np.int32)  # rank of the slot among all used ones
-            self.order[rank[slots[alone]]] = left[alone]
-            placed += int(alone.sum())
-            self.levels.append((salt, size, array("i", rank.tobytes())))
-            left = left[~alone]
-        self.keys = [keys[i] for i in self.order]
-
-    @staticmethod
-    def _slots(hashes: np.ndarray, salt: int, size: int) -> np.ndarray:
-        mixed = (hashes ^ np.uint64(salt)) * np.uint64(_MIX)
-        return ((mixed >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
+            bits = max(1, (len(left) - 1).bit_length() + 1)
+            if shift + bits > 128:
+                hashes, shift = [h * _MIX & _MASK for h in hashes], 64
+                self.levels.append((-1, 0, array("i")))
+            mask = (1 << bits) - 1
+            slots = [hashes[i] >> shift & mask for i in left]
+            counts = np.bincount(slots, minlength=mask + 1)
+            rank = np.full(mask + 1, -1, dtype=np.int32)
+            rank[counts == 1] = placed + np.arange(int((counts == 1).sum()), dtype=np.int32)  # rank of the slot among all used ones
+            alone = {int(rank[x]): i for i, x in zip(left, slots, strict=True) if counts[x] == 1}
+            order += [alone[placed + n] for n in range(len(alone))]
+            placed += len(alone)
+            self.levels.append((shift, mask, array("i", rank.tobytes())))
+            left = [i for i, x in zip(left, slots, strict=True) if counts[x] > 1]
+            shift += bits
+        self.order = order
+        self.keys = [keys[i] for i in order]
 
     def find(self, key: bytes) -> int:
         """Index of the key, -1 if it is none of the keys."""
         h = self.digest(key)
-        for salt, size, rank in self.levels:
-            r = rank[(((h ^ salt) * _MIX & _MASK) >> 32) % size]
-            if r >= 0:
+        for shift, mask, rank in self.levels:
+            if shift < 0:
+                h = h * _MIX & _MASK
+            elif (r := rank[h >> shift & mask]) >= 0:
                 return r if self.keys[r] == key else -1
         return -1
 
@@ -83,7 +88,7 @@ class PerfectHash:
 class Encoder:
     """Encodes pre-tokens by one vocabulary."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, cache: int = CACHE_BYTES):
         ranks = ranks_of(content)
         keys = list(ranks)
         self.hash = PerfectHash(keys)
@@ -97,7 +102,7 @@ class Encoder:
                 if a is not None and b is not None:
                     self.merges[a << self.bits | b] = rank
         self.byte_pairs = [self.merges.get(a << self.bits | b, -1) for a in self.byte_ids for b in self.byte_ids]
-        self.memo = Memo(self.packed, most=CACHE_BYTES)
+        self.memo = Memo(self.packed, most=cache)
 
     def packed(self, piece: str) -> bytes:
         """Ids of a pre-token, 4 bytes each."""
@@ -171,9 +176,9 @@ class Decoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(content: bytes) -> Encoder:
+def encoder_of(content: bytes, cache: int) -> Encoder:
     """A worker's encoder: its tables and cache serve all tasks that the worker runs."""
-    encoder = Encoder(content)
+    encoder = Encoder(content, cache)
     ranks_of.cache_clear()
     return encoder
 
@@ -187,8 +192,8 @@ def _without(df: DataFrame, name: str) -> list[str]:
     return [c for c in df.columns if c.lower() != name]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``ids`` (array of int) to the columns ``keep`` (all by default)."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, cache: int = CACHE_BYTES) -> DataFrame:
+    """Adds ``ids`` (array of int) to the columns ``keep`` (all by default); ``cache`` trades a worker's memory for time."""
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "ids"]
     bound_batches(docs.sparkSession)
     file = broadcast_file(docs.sparkSession, path)
@@ -198,7 +203,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     unlike = unlike_letters()
 
     def run(batches):
-        look, split = encoder_of(file.value).memo.__getitem__, splitter(pattern, unlike)
+        look, split = encoder_of(file.value, cache).memo.__getitem__, splitter(pattern, unlike)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
