@@ -15,7 +15,9 @@ Scale.  See ``blocks``.  The rotation depends on the dimension alone (a fixed se
 fitted and every row is indexed.  A code takes D / 8 + 8 bytes.
 
 Defined results.  A vector that is null, empty, zero, or has null or non-finite components takes
-no part; vectors of other lengths are no candidates; ids as in ``topk``.
+no part; vectors of other lengths are no candidates; ids as in ``topk``.  Repeated candidates each
+count, equal cosines rank by vec_id; an empty table gives an empty result; other columns are ignored.
+Components so large or small that a norm would leave the range of doubles are scaled before.
 """
 
 from __future__ import annotations
@@ -48,11 +50,17 @@ def pack_bits(bits: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def unit_range(matrix: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: no digit changes, nor a cosine."""
+    out = matrix.astype(np.float64)
+    return np.ldexp(out, -np.frexp(np.abs(out).max(axis=1))[1][:, None])
+
+
 class BitIndex:
     """Codes and correction scalars of a block's vectors."""
 
     def __init__(self, matrix: np.ndarray):
-        self.matrix = matrix.astype(np.float64)
+        self.matrix = unit_range(matrix)
         self.norm = np.sqrt((self.matrix * self.matrix).sum(axis=1))
         turned = (self.matrix / self.norm[:, None]) @ rotation(matrix.shape[1])
         self.dim = matrix.shape[1]
@@ -77,6 +85,7 @@ class BitIndex:
 
     def search(self, q: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, exact cosines) of the vectors that the bounds can't rule out."""
+        q = unit_range(q[None, :])[0]
         guess, error = self.estimate(q)
         sure = np.where(own, -np.inf, guess - error)
         n = len(sure)
@@ -104,4 +113,4 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 x.append(y)
         return tuple(np.concatenate(x) if x else np.empty(0) for x in out)
 
-    return blocks.nearest(candidates, queries, "double", search, k)
+    return blocks.nearest(candidates, queries, "double", search, k, every)

@@ -1,14 +1,16 @@
 """Vectors packed in blocks, and query blocks against candidate blocks.
 
 A block is one row that holds up to a fixed number of vectors, so a task works on whole matrices
-and its memory is bounded by one pair of blocks.  Candidate blocks are dealt once over slots;
-query blocks, a fiftieth of the rows, are copied to every slot and joined there.  Nothing is
+and its memory is bounded by one pair of blocks.  Tasks form a grid: candidate blocks are dealt over
+its rows and copied along them, query blocks over its columns and copied along those, so with S tasks
+and a query for every 50 vectors about 2 * sqrt(S / 50) times the vectors are shuffled.  Nothing is
 broadcast, and no pair of vectors becomes a row: a pair of blocks is one row, and what leaves the
 worker are the best few of each query in each block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import count
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-CANDIDATES, QUERIES = 8192, 512
+CANDIDATES, QUERIES = 4096, 512
 #: Bytes of an Arrow batch; a pair of blocks of 64 dimensions is about 2.5 MB.
 BATCH_BYTES = 16 * 1024 * 1024
 
@@ -79,7 +81,7 @@ def query_rows(rows: DataFrame, every: int) -> DataFrame:
     return rows.where(F.pmod(F.col("id"), F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def nearest(candidates: DataFrame, queries: DataFrame, score_type: str, search: Callable, k: int) -> DataFrame:
+def nearest(candidates: DataFrame, queries: DataFrame, score_type: str, search: Callable, k: int, every: int = 50) -> DataFrame:
     """The ``k`` best candidates of each query.
 
     candidates, queries: as ``pack`` gives them.  search(block, dim, ids, data, query ids, query
@@ -88,9 +90,18 @@ def nearest(candidates: DataFrame, queries: DataFrame, score_type: str, search:
     """
     spark = candidates.sparkSession
     bound_batches(spark, BATCH_BYTES)
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    left = candidates.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)))
-    right = queries.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("q_slot"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    down = min(tasks, math.ceil(math.sqrt(every * tasks)))  # rows of the grid
+    across = max(1, tasks // down)
+
+    def dealt(blocks: DataFrame, own: int, other: int, place: Callable) -> DataFrame:
+        """Each block in its row or column, once for every column or row."""
+        mine = F.pmod(F.xxhash64("block"), F.lit(own))
+        return blocks.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long")))).withColumn("slot", place(mine, F.col("_other"))).drop("_other")
+
+    left = dealt(candidates, down, across, lambda i, j: i * across + j).repartition(tasks, "slot", "dim")
+    right = dealt(queries, across, down, lambda j, i: i * across + j)
+    right = right.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("slot").alias("q_slot")).repartition(tasks, "q_slot", "q_dim")
     pairs = left.join(right.hint("merge"), (F.col("slot") == F.col("q_slot")) & (F.col("dim") == F.col("q_dim"))).select("block", "dim", "ids", "data", "q_ids", "q_data")
 
     def run(batches):

@@ -27,35 +27,52 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_paperloom"
 
 
+#: Whether Spark deletes a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """Writes ``df`` and reads it back; its shuffle files go when it is written, as nothing reads them again."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: an executor lost later costs a file read, never a recomputation of
     what lies before.  Unlike ``checkpoint()`` it computes its input once.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
 
 
-#: Folders that ``materialize`` has written in this process, in order.
-_written: list[str] = []
+class Scratch:
+    """The tables that one call of an operator writes on its way, in a folder of its own.
 
+    A table goes as soon as what is made of it has been written.  Other calls, in this process or
+    another, have other folders, so none can lose a table that it still reads.
+    """
 
-def written() -> int:
-    """A mark for ``drop_written``: how many tables have been written so far."""
-    return len(_written)
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.base = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        return _write(df, f"{self.base}/{name}")
 
-def drop_written(spark: SparkSession, since: int) -> None:
-    """Deletes the tables written since a mark, but for the last: for a stage whose result that is."""
-    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-    for path in _written[since:-1]:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(hadoop).delete(place, True)
-    del _written[since:-1]
+    def drop(self, *names: str) -> None:
+        hadoop, jvm = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark.sparkContext._jvm
+        for name in names:
+            place = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            place.getFileSystem(hadoop).delete(place, True)
 
 
 #: Bytes of text or sets in one Arrow batch at most.
@@ -70,6 +87,11 @@ def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(most))
 
 
+def position(columns: list[str], name: str) -> int:
+    """Where a column stands, by Spark's rule: the case of a name doesn't count."""
+    return [c.lower() for c in columns].index(name.lower())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(a, b) links of long ids -> (id, label): the smallest id reachable, for each linked id.
 
     Each round takes the smallest label among the neighbours and then the label of that label, so
-    chains shorten by half and more each time.  Rounds are written to the shared folder; nothing
-    but the number of changed labels comes to the driver.  Joins are on ids of written tables, so
-    adaptive execution can split an id with very many links.
+    chains shorten by half and more each time.  Rounds are written to the shared folder, a round's
+    tables go when the next has been written; nothing but whether a label changed comes to the
+    driver.  Joins are on ids of written tables, so adaptive execution can split an id with very
+    many links.  The result is the table ``{name}`` of the scratch folder.
     """
-    edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "cc-edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "cc-labels")
-    while True:
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = scratch.write(both.where(F.col("a") != F.col("b")).distinct(), f"{name}-edges")
+    labels = scratch.write(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), f"{name}-0")
+    step, changed = 0, True
+    while changed:
         near = edges.join(labels, edges.b == labels.id).groupBy(F.col("a").alias("_a")).agg(F.min("label").alias("m"))
-        lower = materialize(labels.join(near, F.col("id") == F.col("_a"), "left").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label")), "cc-near")
+        lower = scratch.write(labels.join(near, F.col("id") == F.col("_a"), "left").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label")), f"{name}-near-{step}")
         jump = lower.select(F.col("id").alias("_id"), F.col("label").alias("_up"))
-        labels = materialize(lower.join(jump, F.col("label") == F.col("_id"), "left").select("id", "old", F.least("label", "_up").alias("label")), "cc-jump")
-        if labels.where(F.col("old") != F.col("label")).isEmpty():
-            return labels.select("id", "label")
-        labels = labels.select("id", "label")
+        moved = scratch.write(lower.join(jump, F.col("label") == F.col("_id"), "left").select("id", "old", F.least("label", "_up").alias("label")), f"{name}-{step + 1}")
+        scratch.drop(f"{name}-{step}", f"{name}-near-{step}")
+        changed = not moved.where(F.col("old") != F.col("label")).isEmpty()
+        labels, step = moved.select("id", "label"), step + 1
+    scratch.drop(f"{name}-edges")
+    return labels

@@ -13,19 +13,26 @@ and lead no one to a tree.  Each shared leading shingle is a tree; equal trees a
 
 Groups of copies.  Equal sets become one vertex before anything else.  Near copies would make all
 pairs of a group survive, so links are found in rounds: first each vertex is compared with one
-leader of its trees (at most one pair a vertex and round), then components are formed, and the
-trees give only pairs between different components; boxes that lie in one component are skipped
-whole.  Trees with more than ``BLOCK`` members are cut in blocks which meet pairwise, so no task
-holds an unbounded group, and what they let through is compared there and then, so a large group
-passes on links between components and not its pairs.
+leader of its trees (at most two pairs a vertex), then components are formed, and the trees give
+only pairs between different components; boxes that lie in one component are skipped whole.
+
+Large trees.  A tree of more than ``LISTED`` members is range-sorted by component and size over all
+tasks and cut in leaves of at most ``BLOCK`` members or ``BLOCK_BYTES``, so no task holds an unbounded
+group.  Leaves' boxes are compared first; only two leaves whose boxes can hold a link of different
+components meet, and what their points let through is compared there and then, so a large group
+passes on links between components and not its pairs.  A leader's set goes once to every
+``FOLLOWERS`` of its pairs.
+
+Disk.  A table goes when what is made of it has been written; what stays is the narrow result.
 
 Hashes have 64 bits, sets keep 48 of them for the comparison; a wrong count would need two
 different shingles of the pair to share those.
 
 Defined results.  Words are what ASCII white space separates, with A-Z lower-cased.  A text with
 fewer words than a shingle is one shingle; a text without words, or null, has an empty set and is
-linked with nothing.  Rows equal in text are always linked; a null id never becomes a component's
-id unless no other is there.
+linked with nothing.  A very long text is one set like others, its counts have 32 bits.  Rows equal
+in text (repeated rows too) are always linked; a null id never becomes a component's id unless no
+other is there.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,19 +43,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, materialize
+from .common import Scratch, bound_batches
 from .components import connected_components
 from .vocab import release
 
 GROUPS = 64
 CELL_BITS = 22
 CELLS = 1 << CELL_BITS
-#: Members of a tree that are listed in one row; larger ones are handled as blocks.
+#: Members of a tree that are listed in one row; larger ones are cut in leaves.
 LISTED = 64
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Pairs that share one copy of their leader's set.
+FOLLOWERS = 256
 LEAF, FAN = 16, 8
 #: Vertices whose ids are sent to all workers at most (8 bytes each), to pick sets where they lie.
 BROADCAST_IDS = 1_000_000
@@ -141,10 +151,17 @@ def count_cells(docs: DataFrame, words: int) -> np.ndarray:
 # ---- documents -> sets -----------------------------------------------------------------------
 
 
+def text_hashes() -> list[Column]:
+    """Two independent hashes of the text: with the id, what tells rows apart."""
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")]
+
+
 def describe(docs: DataFrame, cells: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, rid, digest (of the set), n, point, lead (leading shingles), members (48-bit hashes)."""
+    """doc_id, h1, h2 (of the text), rid, digest (of the set), n, point, lead (leading shingles), members (48-bit hashes)."""
     table = docs.sparkSession.sparkContext.broadcast(cells)
-    schema = "doc_id long, rid long, digest binary, n int, point binary, lead array<long>, members binary"
+    source = docs.select("doc_id", *text_hashes(), "text")
+    own = [T.StructField("rid", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("point", T.BinaryType()), T.StructField("lead", T.ArrayType(T.LongType())), T.StructField("members", T.BinaryType())]
+    schema = T.StructType([*source.schema.fields[:3], *own])
 
     def run(batches):
         shingle, cells, number = Shingler(words), table.value, TaskContext.get().partitionId() << 40
@@ -152,7 +169,7 @@ def describe(docs: DataFrame, cells: np.ndarray, words: int, num: int, den: int)
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rid, digest, size, point, lead, members = [], [], [], [], [], []
-                for value in part.column(1):
+                for value in part.column(3):
                     s = shingle(value.as_py())
                     n = len(s)
                     rid.append(number)
@@ -165,11 +182,11 @@ def describe(docs: DataFrame, cells: np.ndarray, words: int, num: int, den: int)
                     lead.append(s[np.lexsort((s, count))[:take]].view(np.int64))
                     members.append((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(rid, pa.int64()), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(point, pa.binary()), pa.array(lead, pa.list_(pa.int64())), pa.array(members, pa.binary())],
-                    names=["doc_id", "rid", "digest", "n", "point", "lead", "members"],
+                    [*part.columns[:3], pa.array(rid, pa.int64()), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(point, pa.binary()), pa.array(lead, pa.list_(pa.int64())), pa.array(members, pa.binary())],
+                    names=schema.names,
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def unpack(members: bytes) -> np.ndarray:
@@ -268,55 +285,65 @@ class Union:
 # ---- links -----------------------------------------------------------------------------------
 
 
-def pick(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of ``table`` whose rid is in ``ids``, picked where they lie while the ids are few enough to send."""
-    ids = materialize(ids.select(F.col(column).alias("_id")).distinct(), "join-ids")
+def pick(table: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows of ``table`` whose rid is among ``id`` of ``ids``, picked where they lie while the ids are few enough to send."""
+    ids = scratch.write(ids.select(F.col("id").alias("_id")).distinct(), name)
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return table.join(ids, F.col("rid") == F.col("_id"), "left_semi")
 
 
-def with_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) -> a, b, na, nb, ma, mb.  Only sets that a pair asks for leave their place."""
-    picked = pick(sets, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id").select("rid", "n", "members")
-    left = picked.select(F.col("rid").alias("_ra"), F.col("n").alias("na"), F.col("members").alias("ma"))
-    right = picked.select(F.col("rid").alias("_rb"), F.col("n").alias("nb"), F.col("members").alias("mb"))
-    joined = pairs.join(right.hint("merge"), F.col("b") == F.col("_rb")).join(left.hint("merge"), F.col("a") == F.col("_ra"))
-    return joined.select("a", "b", "na", "nb", "ma", "mb")
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
 
+def beside_leader(table: DataFrame, pairs: DataFrame, payload: str, scratch: Scratch, name: str) -> DataFrame:
+    """(a, salt, kind, rid, n, payload): each pair's b in a group with its a in front, groups together in a task.
 
-def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    A leader of many pairs stands in front of several groups of about ``FOLLOWERS``, so neither its
+    row nor a group's task grows with the number of its pairs.
+    """
+    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).alias("_salts"))
+    follow = pairs.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_salts")).alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("_id"))
+    lead = heads.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("_id"))
+    rows = pick(table, ends(pairs), scratch, name).select("rid", "n", payload)
+    placed = follow.unionByName(lead).join(rows, F.col("_id") == F.col("rid")).select("a", "salt", "kind", "rid", "n", payload)
+    return placed.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+
+
+def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs that are links."""
 
     def run(batches):
+        front, size = np.empty(0, dtype=np.uint64), 0
         for batch in batches:
             a, b = [], []
             for i in range(batch.num_rows):
-                x, y, nx, ny, mx, my = (c[i].as_py() for c in batch.columns)
-                if linked(overlap(unpack(mx), unpack(my)), nx, ny, num, den):
-                    a.append(x)
-                    b.append(y)
+                leader, _, kind, rid, n, members = (c[i].as_py() for c in batch.columns)
+                own = unpack(members)
+                if kind == 0:
+                    front, size = own, n
+                elif linked(overlap(front, own), size, n, num, den):
+                    a.append(leader)
+                    b.append(rid)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return with_sets(sets, pairs).mapInArrow(run, "a long, b long")
+    return beside_leader(sets, pairs, "members", scratch, name).mapInArrow(run, "a long, b long")
 
 
-def bounded(points: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+def bounded(points: DataFrame, pairs: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs whose points let them reach the threshold."""
-    points = pick(points, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
-    left, right = (points.select(F.col("rid").alias(f"_r{x}"), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
-    joined = pairs.join(right, F.col("b") == F.col("_rb")).join(left, F.col("a") == F.col("_ra")).where((den * F.col("na") >= num * F.col("nb")) & (den * F.col("nb") >= num * F.col("na")))
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = (np.asarray(batch.column(i)).astype(np.int64) for i in (2, 3))
-            pa_, pb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, GROUPS) for i in (4, 5))
-            ok = np.minimum(pa_, pb).sum(axis=1, dtype=np.int64) >= pair_needed(na + nb, num, den)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+        for (leader, _), rows in _groups(batches, 2):
+            n = np.array([r[2] for r in rows], dtype=np.int64)
+            point = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint32).reshape(-1, GROUPS)
+            total = n[0] + n[1:]
+            ok = (den * n[1:] >= num * n[0]) & (den * n[0] >= num * n[1:]) & (np.minimum(point[0], point[1:]).sum(axis=1, dtype=np.int64) >= pair_needed(total, num, den))
+            b = np.array([r[1] for r in rows[1:]], dtype=np.int64)[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), leader, dtype=np.int64)), pa.array(b)], names=["a", "b"])
 
-    return joined.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+    return beside_leader(points, pairs, "point", scratch, name).mapInArrow(run, "a long, b long")
 
 
 def _groups(batches, columns: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -353,39 +380,103 @@ def small_tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def large_tree_links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(tree, i, j, block, rid, label, n, point, members) sorted by tree, i, j -> links that join components.
+_LEAF_FIELDS = "tree long, leaf string, low int, high int, pure long, top binary, rids array<long>, labels array<long>, sizes array<int>, points binary, sets array<binary>"
+
+
+def leaves(members: DataFrame) -> DataFrame:
+    """(tree, label, n, rid, point, members), sorted within partitions by the first four -> leaves of large trees."""
+
+    def run(batches):
+        number, part = 0, TaskContext.get().partitionId()
+
+        def leaf(tree: int, rows: list[tuple]) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            labels, sizes, points = [r[0] for r in rows], [r[1] for r in rows], b"".join(r[3] for r in rows)
+            top = np.frombuffer(points, dtype=np.uint32).reshape(-1, GROUPS).max(axis=0)
+            values = [tree, f"{part}-{number}", min(sizes), max(sizes), labels[0] if labels[0] == labels[-1] else -1, top.tobytes(), [r[2] for r in rows], labels, sizes, points, [r[4] for r in rows]]
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())]
+            names = [f.split()[0] for f in _LEAF_FIELDS.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
+
+        tree, rows, room = None, [], BLOCK_BYTES
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and (row[0] != tree or len(rows) == BLOCK or room <= 0):
+                    yield leaf(tree, rows)
+                    rows, room = [], BLOCK_BYTES
+                tree = row[0]
+                rows.append(row[1:])
+                room -= len(row[5])
+        if rows:
+            yield leaf(tree, rows)
+
+    return members.mapInArrow(run, _LEAF_FIELDS)
+
+
+def leaf_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) leaves of one tree whose boxes can hold a link between different components, a leaf with itself included.
+
+    A tree's boxes are compared in one task: a box of 300 bytes stands for up to ``BLOCK`` members.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("leaf")
+        low, high, pure = (np.asarray(table.column(c)).astype(np.int64) for c in ("low", "high", "pure"))
+        top = np.frombuffer(b"".join(table.column("top").to_pylist()), dtype=np.uint32).reshape(-1, GROUPS)
+        first, second = [], []
+        for i in range(len(low)):
+            j = np.arange(i, len(low))
+            j = j[((pure[j] != pure[i]) | (pure[i] < 0)) & (den * high[i] >= num * low[j]) & (den * high[j] >= num * low[i])]
+            for part in np.array_split(j, len(j) // 10_000 + 1):
+                part = part[np.minimum(top[i], top[part]).sum(axis=1, dtype=np.int64) >= pair_needed(low[i] + low[part], num, den)]
+                first.append(np.full(len(part), i))
+                second.append(part)
+        names = table.column("leaf")
+        return pa.table({"a": names.take(pa.array(np.concatenate(first))), "b": names.take(pa.array(np.concatenate(second)))})
+
+    return found.select("tree", "leaf", "low", "high", "pure", "top").groupBy("tree").applyInArrow(run, "a string, b string")
+
+
+def leaf_links(found: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components of the pairs of leaves.
 
     Survivors are compared here; once two components are joined in a task, no more of their pairs are.
     """
+    held = ["rids", "labels", "sizes", "points", "sets"]
+    left, right = (found.select(F.col("leaf").alias(f"_{x}"), *[F.col(c).alias(f"{x}_{c}") for c in held]) for x in "ab")
+    joined = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
 
     def run(batches):
         joined = Union()
-        for (_, i, j), rows in _groups(batches, 3):
-            halves = [[r[1:] for r in rows if r[0] == i], [r[1:] for r in rows if r[0] == j]]
-            if not all(halves):
-                continue
-            trees = [_tree(halves[0])]
-            trees.append(trees[0] if i == j else _tree(halves[1]))
-            sets: list[dict[int, np.ndarray]] = [{}, {}]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = [c[k].as_py() for c in batch.columns]
+                sides = [row[2:7], row[7:]]
+                trees = [_tree([(None, label, n, point) for label, n, point in zip(x[1], x[2], _split(x[3]), strict=True)]) for x in sides[: 1 if row[0] == row[1] else 2]]
+                sets: list[dict[int, np.ndarray]] = [{}, {}]
 
-            def members_of(side: int, k: int) -> np.ndarray:
-                if k not in sets[side]:
-                    sets[side][k] = unpack(halves[side][k][4])  # noqa: B023
-                return sets[side][k]
+                def members_of(side: int, i: int) -> np.ndarray:
+                    if i not in sets[side]:
+                        sets[side][i] = unpack(sides[side][4][i])  # noqa: B023
+                    return sets[side][i]  # noqa: B023
 
-            a, b = [], []
-            for x, y in trees[0].pairs(trees[1], num, den):
-                for p, q in zip(x.tolist(), y.tolist(), strict=True):
-                    left, right = halves[0][p], halves[1][q]
-                    u, v = joined.find(left[1]), joined.find(right[1])
-                    if u != v and linked(overlap(members_of(0, p), members_of(1, q)), left[2], right[2], num, den):
-                        joined.join(u, v)
-                        a.append(min(left[0], right[0]))
-                        b.append(max(left[0], right[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+                for x, y in trees[0].pairs(trees[-1], num, den):
+                    for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                        u, v = joined.find(sides[0][1][p]), joined.find(sides[1][1][q])
+                        if u != v and linked(overlap(members_of(0, p), members_of(1, q)), sides[0][2][p], sides[1][2][q], num, den):
+                            joined.join(u, v)
+                            a.append(min(sides[0][0][p], sides[1][0][q]))
+                            b.append(max(sides[0][0][p], sides[1][0][q]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    columns = ["a", "b", *[f"{x}_{c}" for x in "ab" for c in held]]
+    return joined.select(*columns).mapInArrow(run, "a long, b long")
 
-    return members.mapInArrow(run, "a long, b long")
+
+def _split(points: bytes) -> list[bytes]:
+    return [points[i : i + 4 * GROUPS] for i in range(0, len(points), 4 * GROUPS)]
 
 
 def relabel(table: DataFrame, labels: DataFrame) -> DataFrame:
@@ -393,36 +484,44 @@ def relabel(table: DataFrame, labels: DataFrame) -> DataFrame:
     return table.join(labels.select(F.col("id").alias("_id"), F.col("label").alias("_label")), F.col("rid") == F.col("_id"), "left").withColumn("label", F.coalesce("_label", "rid")).drop("_id", "_label")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row; links are Jaccard >= num / den."""
+def _first(table: DataFrame) -> Column:
+    """The smallest row by id (null last), then text."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2"))
+
+
+def classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """doc_id, h1, h2, n, first (none, doc_id, h1, h2 of its component's smallest row; null with an empty set) of each row."""
     bound_batches(docs.sparkSession)
-    table = materialize(describe(docs, count_cells(docs, words), words, num, den), "join-sets")
+    t = Scratch(docs.sparkSession, "join")
+    table = t.write(describe(docs, count_cells(docs, words), words, num, den), "sets")
     full = table.where(F.col("n") > 0)
 
     # one vertex for each distinct set
-    vertex = materialize(full.groupBy("digest").agg(F.min("rid").alias("vid"), F.min("doc_id").alias("first_doc")), "join-vertices")
-    chosen = pick(full, vertex, "vid")
+    vertex = t.write(full.groupBy("digest").agg(F.min("rid").alias("vid"), _first(full).alias("first")), "vertices")
+    chosen = pick(full, vertex.select(F.col("vid").alias("id")), t, "ids-leads")
     points = full.select("rid", "n", "point")
-
-    leads = materialize(chosen.select("rid", "n", F.explode("lead").alias("token")), "join-leads")
-    trees = materialize(leads.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > 1).withColumnRenamed("token", "_token"), "join-trees")
-    within = materialize(leads.join(trees, F.col("token") == F.col("_token")).select("token", "rid", "n", "size"), "join-members")
+    leads = t.write(chosen.select("rid", "n", F.explode("lead").alias("token")), "leads")
+    trees = leads.groupBy("token").agg(F.count("*").alias("size"), F.min("rid").alias("leader"), F.max("rid").alias("last")).where(F.col("size") > 1)
+    trees = t.write(trees.withColumnRenamed("token", "_token"), "trees")
+    within = t.write(leads.join(trees, F.col("token") == F.col("_token")).select("token", "rid", "n", "size", "leader", "last"), "members")
+    t.drop("ids-leads", "leads", "trees")
 
     # rounds against one leader
-    ends = materialize(within.groupBy(F.col("token").alias("_token")).agg(F.min("rid").alias("leader"), F.max("rid").alias("last")), "join-ends")
-    led = within.join(ends, F.col("token") == F.col("_token")).groupBy("rid").agg(F.min("leader").alias("leader"), F.max("last").alias("last"))
+    led = within.groupBy("rid").agg(F.min("leader").alias("leader"), F.max("last").alias("last"))
     first = F.when(F.col("leader") != F.col("rid"), F.struct(F.col("leader").alias("a"), F.col("rid").alias("b")))
-    second = F.when(F.col("last") != F.col("rid"), F.struct(F.col("rid").alias("a"), F.col("last").alias("b")))
-    stars = led.select(F.explode(F.array(first, second)).alias("p")).where(F.col("p").isNotNull()).select("p.a", "p.b").distinct()
-    tried = materialize(bounded(points, materialize(stars, "join-stars"), num, den), "join-tried")
-    links = materialize(verify(full, tried, num, den), "join-links")
-    labels = connected_components(links)
+    second = F.when(F.col("last") != F.col("rid"), F.struct(F.col("last").alias("a"), F.col("rid").alias("b")))
+    stars = t.write(led.select(F.explode(F.array(first, second)).alias("p")).where(F.col("p").isNotNull()).select("p.a", "p.b").distinct(), "stars")
+    tried = t.write(bounded(points, stars, num, den, t, "ids-stars"), "tried")
+    links = t.write(verify(full, tried, num, den, t, "ids-tried"), "links")
+    t.drop("stars", "ids-stars", "ids-tried")
+    labels = connected_components(links, t, "labels")
 
     # trees between components
-    mixed = relabel(within, labels)
+    mixed = relabel(within.select("token", "rid", "n", "size"), labels)
     spread = mixed.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select(F.col("token").alias("_token"))
-    spread = materialize(spread, "join-spread")
-    mixed = materialize(mixed.join(spread, F.col("token") == F.col("_token")).select("token", "rid", "n", "size", "label"), "join-mixed")
+    spread = t.write(spread, "spread")
+    mixed = t.write(mixed.join(spread, F.col("token") == F.col("_token")).select("token", "rid", "n", "size", "label"), "mixed")
+    t.drop("members", "spread")
     lists = mixed.where(F.col("size") <= LISTED).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rid", "label", "n"))).alias("l"))
 
     def company(x):
@@ -430,39 +529,62 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
         return F.exists("l", lambda y: (y["label"] != x["label"]) & (den * y["n"] >= num * x["n"]) & (den * x["n"] >= num * y["n"]))
 
     lists = lists.select(F.filter("l", company).alias("l")).where(F.size("l") > 1).distinct()
-    small = materialize(lists.select(F.xxhash64("l").alias("tree"), F.explode("l").alias("m")).select("tree", "m.rid", "m.label").distinct(), "join-small")
-    place = pick(points, small, "rid").withColumnRenamed("rid", "_rid")
-    small = small.join(place, F.col("rid") == F.col("_rid")).select("tree", "rid", "label", "n", "point")
-    small = small.repartition("tree").sortWithinPartitions("tree")
-    pairs = small_tree_pairs(small, num, den).distinct().join(tried, ["a", "b"], "left_anti")
-
-    big = mixed.where(F.col("size") > LISTED).withColumn("_n", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("_n")))
-    big = big.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    big = big.select(F.col("token").alias("tree"), F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "rid", "label")
-    big_ids = materialize(big, "join-big")
-    sets = pick(full, big_ids, "rid").select(F.col("rid").alias("_rid"), "n", "point", "members")
-    big = big_ids.join(sets, F.col("rid") == F.col("_rid")).select("tree", "i", "j", "block", "rid", "label", "n", "point", "members")
-    big = big.repartition("tree", "i", "j").sortWithinPartitions("tree", "i", "j")
-    more = materialize(verify(full, materialize(pairs, "join-pairs"), num, den).unionByName(large_tree_links(big, num, den)), "join-more")
+    small = t.write(lists.select(F.xxhash64("l").alias("tree"), F.explode("l").alias("m")).select("tree", "m.rid", "m.label").distinct(), "small")
+    place = pick(points, small.select(F.col("rid").alias("id")), t, "ids-small").withColumnRenamed("rid", "_rid")
+    placed = small.join(place, F.col("rid") == F.col("_rid")).select("tree", "rid", "label", "n", "point").repartition("tree").sortWithinPartitions("tree")
+    both = F.array_sort(F.array("a", "b"))
+    known = tried.select(both[0].alias("a"), both[1].alias("b"))
+    pairs = t.write(small_tree_pairs(placed, num, den).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
+    t.drop("small", "ids-small", "tried")
+
+    order = ["tree", "label", "n", "rid"]
+    big = mixed.where(F.col("size") > LISTED).select(F.col("token").alias("tree"), "rid", "label")
+    sets = pick(full, big.select(F.col("rid").alias("id")), t, "ids-big").select(F.col("rid").alias("_rid"), "n", "point", "members")
+    big = big.join(sets, F.col("rid") == F.col("_rid")).select(*order, "point", "members")
+    cut = t.write(leaves(big.repartitionByRange(*order).sortWithinPartitions(*order)), "leaves")
+    t.drop("mixed", "ids-big")
+    met = t.write(leaf_pairs(cut, num, den), "leaf-pairs")
+    more = t.write(verify(full, pairs, num, den, t, "ids-pairs").unionByName(leaf_links(cut, met, num, den)), "more")
+    t.drop("pairs", "ids-pairs", "leaves", "leaf-pairs")
     if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+        labels = connected_components(links.unionByName(more), t, "labels-2")
 
     of_vertex = relabel(vertex.withColumnRenamed("vid", "rid"), labels)
-    smallest = of_vertex.groupBy(F.col("label").alias("_l")).agg(F.min("first_doc").alias("component_id"))
-    placed = materialize(of_vertex.join(smallest, F.col("label") == F.col("_l")).select(F.col("digest").alias("_digest"), "component_id"), "join-placed")
-    linked_rows = full.join(placed, F.col("digest") == F.col("_digest")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = table.where(F.col("n") == 0).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked_rows.unionByName(alone)
+    smallest = of_vertex.groupBy(F.col("label").alias("_l")).agg(F.min("first").alias("smallest"))
+    of_set = of_vertex.join(smallest, F.col("label") == F.col("_l")).select(F.col("digest").alias("_digest"), F.col("smallest").alias("first"))
+    rows = ["doc_id", "h1", "h2", "n"]
+    out = full.join(of_set, F.col("digest") == F.col("_digest")).select(*rows, "first")
+    out = t.write(out.unionByName(table.where(F.col("n") == 0).select(*rows, F.lit(None).cast(out.schema["first"].dataType).alias("first"))), "result")
+    # what is left besides the result
+    t.drop("sets", "vertices", "links", "more")
+    return out
+
+
+def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row; links are Jaccard >= num / den."""
+    found = classes(docs, words, num, den)
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; columns unchanged.
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id; columns unchanged.
 
-    Rows that share that id (repeated rows) count as one, the first of them by text stays; rows
-    with an empty set and rows of components without any id all stay.
+    Ids only order rows (null last, then by a hash of the text): rows that share an id but not a text
+    are told apart, and a component of rows without ids keeps one.  Rows with an empty set all stay.
+    Of rows equal in id and text that stand for their component, one stays.
     """
-    keep = similar_documents(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = keep.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
-    columns = docs.columns
-    named = docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    found, key = classes(docs, words, num, den), ["doc_id", "h1", "h2"]
+    counted = found.groupBy(*key, "n", "first").agg(F.count("*").alias("rows"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), *key)
+    kept = counted.where((F.col("n") == 0) | own.eqNullSafe(F.col("first")))
+    kept = kept.select(*[F.col(c).alias(f"__{c}") for c in key], ((F.col("n") > 0) & (F.col("rows") > 1)).alias("__again"))
+    kept = Scratch(docs.sparkSession, "kept").write(kept, "rows")
+    columns = [docs[c] for c in docs.columns]
+    named = docs.select(*columns, docs["doc_id"].alias("__id"), *[h.alias(f"__own_{h_name}") for h, h_name in zip(text_hashes(), ("h1", "h2"), strict=True)])
+    same = F.col("__id").eqNullSafe(F.col("__doc_id")) & (F.col("__own_h1") == F.col("__h1")) & (F.col("__own_h2") == F.col("__h2"))
+    once = named.join(kept.where(~F.col("__again")), same, "left_semi").drop("__id", "__own_h1", "__own_h2")
+    repeated = kept.where("__again")
+    if repeated.isEmpty():
+        return once
+    again = named.join(repeated, same, "left_semi").dropDuplicates(["__id", "__own_h1", "__own_h2"])
+    return once.unionByName(again.drop("__id", "__own_h1", "__own_h2"))

@@ -10,18 +10,22 @@ At ``generalise`` of it a term is replaced by a general mark, at ``remove`` it i
 P(e | t) is df(t, e) / df(t), drawn towards independence, df(e) / N, with the weight of
 ``support`` contexts: no pair is left out for standing in few contexts, it only counts for less.
 Copies of one text are one context, so they weigh as one: the words beside the mention tell.
-A flagged term goes wherever it stands in the documents of its entity.
+A flagged term goes wherever it stands in the documents of its entity.  Where P(e | t), so drawn,
+reaches ``reveal``, the term gives the entity away on its own and goes in every document.
 
 Scale.  Patterns run where a document is read, each in linear time of the text, so very long
 runs of digits or letters cost no more than others.  Only documents with entities are kept aside
 and only their terms shuffled, those that are too frequent to reach the threshold not beyond a
-first count; the corpus count of the others covers every document.  They are broadcast only up to
-``BROADCAST_TERMS`` after counting them; beyond that all counts are shuffled and joined.  A
-document of many entities gives each of them with each of its rare terms.
-
-Defined results.  Null text is empty and has no spans.  Spans of one kind never overlap; spans of
-different kinds may.  A term is what white space separates, without punctuation at its ends; where
-a script writes no spaces that is a whole run.  Rows equal in id and text get equal spans.
+first count; the corpus count of the others covers every document, as does the search for terms that
+reveal on their own.  Terms are broadcast only up to ``BROADCAST_TERMS`` after counting them; beyond
+that all occurrences are shuffled and joined.  A document of many entities gives each of them with
+each of its rare terms.  Tables go as they are consumed; the spans stay.
+
+Defined results.  Null text is empty and has no spans; very long texts are whole.  Spans of one kind
+never overlap; spans of different kinds may.  A term is what white space separates, without
+punctuation at its ends; where a script writes no spaces that is a whole run.  All rows count, with a
+null id too; rows equal in id and text get equal spans.  A term's stronger action holds where two
+entities flag it.  An empty table gives none; other columns are ignored, or pass through ``sanitise``.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, materialize
+from .common import Scratch, bound_batches, position
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a mention that tell its context from others, and the characters searched for them.
@@ -163,7 +167,6 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType(), False),
 _PA_SPANS = pa.list_(pa.struct([pa.field("kind", pa.string(), False), pa.field("start", pa.int32(), False), pa.field("end", pa.int32(), False)]))
 _PA_MENTIONS = pa.list_(pa.struct([pa.field("entity", pa.int64(), False), pa.field("near", pa.int64(), False)]))
 _TERMS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False), T.StructField("action", T.StringType(), False)]), False)
-_PA_TERMS = pa.list_(pa.struct([pa.field("start", pa.int32(), False), pa.field("end", pa.int32(), False), pa.field("action", pa.string(), False)]))
 
 
 def row_key():
@@ -208,11 +211,18 @@ def held_terms(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "row_key", "base", "body").mapInArrow(run, "doc string, row_key long, term long").distinct()
 
 
+def sent(terms: DataFrame, *columns: str) -> dict[str, np.ndarray] | None:
+    """These columns of the terms, to be broadcast; None if there are more than ``BROADCAST_TERMS``."""
+    if terms.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
+        return None
+    got = terms.select(*columns).toArrow()
+    return {c: got.column(c).to_numpy(zero_copy_only=False) for c in columns}
+
+
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term -> df_term over all documents, for the given distinct terms."""
-    spark = docs.sparkSession
-    n = terms.limit(BROADCAST_TERMS + 1).count()
-    wanted = spark.sparkContext.broadcast(np.sort(np.array([r.term for r in terms.collect()], dtype=np.int64))) if n <= BROADCAST_TERMS else None
+    few = sent(terms, "term")
+    wanted = None if few is None else docs.sparkSession.sparkContext.broadcast(np.sort(few["term"]))
 
     def run(batches):
         keep = None if wanted is None else set(wanted.value.tolist())
@@ -240,58 +250,113 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted if wanted is not None else counted.join(terms, "term", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
-    """(doc, row_key, entity, term, action) of the pairs above the disclosure thresholds, in each row that holds both."""
+def disclosing_terms(docs: DataFrame, found: DataFrame, t: Scratch, generalise: float = 0.8, remove: float = 0.95, support: int = 2, reveal: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs above the disclosure thresholds.
+
+    The distinct rows with entities; (doc, row_key, flags) of the terms that go beside their own; and (term,
+    action) of those that reveal an entity in other documents.
+    """
     total, row = docs.count(), ["doc", "row_key"]
     rows = found.where(F.size("mentions") > 0).withColumn("doc", doc_key())
+    # rows equal in id and text are one here, and count as often as they stand in the table
+    rows = t.write(rows.groupBy(*row).agg(F.first("base").alias("base"), F.first("mentions").alias("mentions"), F.first("body").alias("body"), F.count("*").alias("rows")), "entity-rows")
     # one context a document, however often it mentions the entity
-    mentions = rows.select(*row, F.explode("mentions").alias("m")).groupBy(*row, F.col("m.entity").alias("entity")).agg(F.min("m.near").alias("near"))
+    mentions = rows.select(*row, "rows", F.explode("mentions").alias("m")).groupBy(*row, "rows", F.col("m.entity").alias("entity")).agg(F.min("m.near").alias("near"))
     # P(e | t) is at most df_both / df_term, so a term of more documents than ``most`` can't reach the threshold
     most = F.col("df_entity") * F.pow(F.lit(total) / F.col("df_entity"), F.lit(1 - generalise)) * 1.000001
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("df_entity")).withColumn("most", most)
-    mentions = materialize(mentions.join(entities, "entity"), "pii-mentions")
+    entities = mentions.groupBy("entity").agg(F.sum("rows").alias("df_entity")).withColumn("most", most)
+    mentions = t.write(mentions.join(entities, "entity"), "mentions")
     bounds = mentions.groupBy(*row).agg(F.max("most").alias("bound"))
-    held = materialize(held_terms(rows), "pii-held")
-    least = held.groupBy("term").agg(F.count("*").alias("df_least"))
-    rare = materialize(held.join(least, "term").join(bounds, row).where(F.col("df_least") <= F.col("bound")).select(*row, "term", "bound"), "pii-rare")
-    terms = materialize(rare.select("term").distinct(), "pii-terms")
+    held = t.write(held_terms(rows), "held")
+    least = held.join(rows.select(*row, "rows"), row).groupBy("term").agg(F.sum("rows").alias("df_least"))
+    rare = t.write(held.join(least, "term").join(bounds, row).where(F.col("df_least") <= F.col("bound")).select(*row, "term", "bound"), "rare")
+    terms = t.write(rare.select("term").distinct(), "terms")
     if terms.isEmpty():
         counts = terms.withColumn("df_term", F.lit(1).cast("long"))
     else:
         counts = document_counts(docs, terms)
     counted = rare.join(counts, "term").where(F.col("df_term") <= F.col("bound"))
-    pairs = materialize(counted.join(mentions, row).where(F.col("df_term") <= F.col("most")).select(*row, "entity", "term", "near", "df_term", "df_entity"), "pii-pairs")
-    joint = pairs.groupBy("entity", "term", "df_term", "df_entity").agg(F.count("*").alias("df_both"), F.count_distinct("near").alias("contexts"))
+    pairs = t.write(counted.join(mentions, row).where(F.col("df_term") <= F.col("most")).select(*row, "rows", "entity", "term", "near", "df_term", "df_entity"), "pairs")
+    joint = pairs.groupBy("entity", "term", "df_term", "df_entity").agg(F.sum("rows").alias("df_both"), F.count_distinct("near").alias("contexts"))
     # documents of the term in the measure of contexts, in which copies are one
     seen = F.col("contexts") * F.col("df_term") / F.col("df_both")
     given = (F.col("contexts") + support * F.col("df_entity") / F.lit(total)) / (seen + support)
-    ratio = F.log2(F.lit(total) * given / F.col("df_entity")) / F.greatest(F.log2(F.lit(total) / F.col("df_entity")), F.lit(1e-9))
-    flagged = joint.withColumn("ratio", ratio).where(F.col("ratio") >= generalise)
-    flagged = flagged.select("entity", "term", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action"))
-    return pairs.select(*row, "entity", "term").join(flagged, ["entity", "term"])
+    ratio = F.log2(F.lit(total) * F.col("given") / F.col("df_entity")) / F.greatest(F.log2(F.lit(total) / F.col("df_entity")), F.lit(1e-9))
+    flagged = joint.withColumn("given", given).withColumn("ratio", ratio).where(F.col("ratio") >= generalise)
+    action = F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action")
+    flagged = t.write(flagged.select("entity", "term", action, ((F.col("given") >= reveal) & (F.col("df_term") > F.col("df_both"))).alias("alone")), "flagged")
+    # of two actions "remove", the later by name, is the stronger
+    alone = t.write(flagged.where("alone").groupBy("term").agg(F.max("action").alias("action")), "alone")
+    beside = pairs.select(*row, "entity", "term").join(flagged, ["entity", "term"]).groupBy(*row, "term").agg(F.max("action").alias("action"))
+    beside = t.write(beside.groupBy(*row).agg(F.collect_list(F.struct("term", "action")).alias("flags")), "beside")
+    t.drop("mentions", "held", "rare", "terms", "pairs", "flagged")
+    return rows, beside, alone
 
 
-def find_spans(docs: DataFrame, **thresholds) -> DataFrame:
-    """doc_id, row_key, base, terms (array of start, end, action) of each row."""
-    found = materialize(find_base(docs), "pii-base")
-    flagged = disclosing_terms(docs, found, **thresholds)
-    # of two actions "remove", the later by name, is the stronger
-    flagged = flagged.groupBy("doc", "row_key", "term").agg(F.max("action").alias("action"))
-    places = flagged.groupBy(F.col("doc").alias("_d"), F.col("row_key").alias("_k")).agg(F.collect_list(F.struct("term", "action")).alias("flagged"))
-    joined = found.join(places, (doc_key() == F.col("_d")) & (F.col("row_key") == F.col("_k")), "left")
-    source = joined.select("doc_id", "row_key", "base", F.when(F.col("flagged").isNotNull(), F.col("body")).alias("body"), "flagged")
-    schema = T.StructType([*source.schema.fields[:3], T.StructField("terms", _TERMS, False)])
+_PLACES = "doc string, row_key long, start int, end int, action string"
+
+
+def _placed(doc: str, key: int, found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+    columns = [[doc] * len(found), [key] * len(found), *([x[i] for x in found] for i in range(3))]
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "row_key", "start", "end", "action"])
+
+
+def places_beside(rows: DataFrame, beside: DataFrame) -> DataFrame:
+    """Where the flagged terms of a row's own entities stand."""
+    joined = rows.join(beside, ["doc", "row_key"]).select("doc", "row_key", "base", "body", "flags")
 
     def run(batches):
         for batch in batches:
-            out = []
-            for base, body, flags in zip(*batch.columns[2:], strict=True):
-                action = {f["term"]: f["action"] for f in flags.as_py() or []}
-                spans = [tuple(s.values()) for s in base.as_py()] if action else []
-                out.append([{"start": x, "end": y, "action": action[t]} for t, x, y in occurrences(body.as_py(), spans) if t in action] if action else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, _PA_TERMS)], names=schema.names)
+            for doc, key, base, body, flags in zip(*batch.columns, strict=True):
+                action = {f["term"]: f["action"] for f in flags.as_py()}
+                spans = [tuple(s.values()) for s in base.as_py()]
+                yield _placed(doc.as_py(), key.as_py(), [(x, y, action[h]) for h, x, y in occurrences(body.as_py(), spans) if h in action])
 
-    return source.mapInArrow(run, schema)
+    return joined.mapInArrow(run, _PLACES)
+
+
+def places_alone(docs: DataFrame, alone: DataFrame) -> DataFrame:
+    """Where in all documents the terms stand that reveal an entity on their own."""
+    few = sent(alone, "term", "action")
+    wanted = None if few is None else docs.sparkSession.sparkContext.broadcast(dict(zip(few["term"].tolist(), few["action"].tolist(), strict=True)))
+    source = docs.select(doc_key().alias("doc"), row_key().alias("row_key"), "text")
+
+    def run(batches):
+        action = None if wanted is None else wanted.value
+        for batch in batches:
+            for doc, key, value in zip(*batch.columns, strict=True):
+                text = value.as_py() or ""
+                if action is not None and not any(_hash(x) in action for x in {term_of(token) for token in set(text.split())} - {""}):
+                    continue
+                found = occurrences(text, base_spans(text))
+                if action is None:
+                    found = [(x, y, str(h)) for h, x, y in found]
+                else:
+                    found = [(x, y, action[h]) for h, x, y in found if h in action]
+                yield _placed(doc.as_py(), key.as_py(), found)
+
+    placed = source.mapInArrow(run, _PLACES)
+    if wanted is not None:
+        return placed
+    named = alone.select(F.col("term").cast("string").alias("_term"), F.col("action").alias("_action"))
+    return placed.join(named, F.col("action") == F.col("_term")).select("doc", "row_key", "start", "end", F.col("_action").alias("action"))
+
+
+def find_spans(docs: DataFrame, **thresholds) -> DataFrame:
+    """doc_id, row_key, base, terms (array of start, end, action) of each row."""
+    t = Scratch(docs.sparkSession, "pii")
+    found = t.write(find_base(docs), "base")
+    rows, beside, alone = disclosing_terms(docs, found, t, **thresholds)
+    places = places_beside(rows, beside)
+    if not alone.isEmpty():
+        places = places.unionByName(places_alone(docs, alone))
+    places = places.groupBy("doc", "row_key", "start", "end").agg(F.max("action").alias("action"))
+    places = places.groupBy(F.col("doc").alias("_d"), F.col("row_key").alias("_k")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("_terms"))
+    joined = found.join(places, (doc_key() == F.col("_d")) & (F.col("row_key") == F.col("_k")), "left")
+    out = t.write(joined.select("doc_id", "row_key", "base", F.coalesce("_terms", F.array().cast(_TERMS)).alias("terms")), "spans")
+    t.drop("base", "entity-rows", "alone", "beside")
+    return out
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -321,7 +386,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     columns = docs.columns
     joined = docs.withColumn("__key", row_key()).join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), "left")
     source = joined.select(*columns, "__base", "__terms")
-    where = columns.index("text")
+    where = position(columns, "text")
     schema = T.StructType(source.schema.fields[:-2])
 
     def run(batches):

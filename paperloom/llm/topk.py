@@ -6,19 +6,24 @@ query component the impact of a segment grows from the lowest component upwards,
 one from the highest downwards, so every contribution is counted from zero (what that leaves out is the same for all vectors).
 
 A query takes segments of all dimensions in descending impact |q_d| * level, and adds each
-segment's impact to the vectors in it.  Between rounds it knows of each vector a lower bound (the
-impacts taken) and an upper bound (plus the width of those segments, plus the largest impact left
-in each dimension where the vector hasn't come up).  It stops when few vectors can still reach the
-k-th lower bound; that is the proof that no other can be a member.  Those few are scored exactly.
-If the bounds never part, all segments are taken and every possible member is scored.
+segment's impact to the vectors in it.  Impacts fall from round to round by the factor ``FALL``; after
+each round a vector has a lower bound (the impacts taken) and an upper bound (plus the width of those
+segments, plus the largest impact left in each dimension where the vector hasn't come up).  The query
+stops as soon as few vectors can still reach the k-th lower bound: that is the proof that no other
+can be a member.  Those few are scored exactly.  If the bounds never part, all segments are taken and
+every possible member is scored.
+
+Exact scores.  Scaled components are whole numbers held as doubles, which lose none of their digits.
+A product is taken in 64-bit integers where the sizes of its components bound it below 2**62, else
+in Python's integers.  A score among the best that doesn't fit a long is an error, not another number.
 
 Scale.  See ``blocks``: bounded memory, no vector pairs as rows.  Results are exact whatever the
 blocks are.
 
 Defined results.  A vector that is null, empty, or has null or non-finite components takes no
-part, nor does one whose scaled components pass 2**31; vectors of other lengths are no candidates.
-A null id takes no part; of repeated query ids the smallest vector asks, and rows with the query's
-id are no candidates.
+part; vectors of other lengths are no candidates.  A null id takes no part; of repeated query ids the
+smallest vector asks, and rows with the query's id are no candidates; repeated candidates each count.
+Equal scores rank by vec_id.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,18 +37,22 @@ from . import blocks
 SCALE = 256
 #: Segments of a dimension at most; a block whose components span less has one for each value.
 LEVELS = 1024
-#: Where to look at the bounds: impacts down to this share of the largest one have been taken.
-ROUNDS = (0.04,)
+#: From round to round impacts fall by this factor, ``ROUNDS`` times; what is left then is one more round.
+FALL, ROUNDS = 0.75, 12
 #: Share of a block's vectors that are scored exactly rather than pursued by the index.
 FEW = 1 / 20
+#: Products bounded below this are taken in 64-bit integers.
+WIDE = float(1 << 62)
 
 
 class ImpactIndex:
     def __init__(self, matrix: np.ndarray):
+        """matrix: rows of whole numbers as doubles."""
         self.matrix = matrix
+        self.largest = np.abs(matrix).max(axis=1)
         self.low, self.high = matrix.min(axis=0), matrix.max(axis=0)
         self.width = np.maximum(1.0, np.ceil((self.high - self.low + 1) / LEVELS))
-        self.level = ((matrix - self.low) / self.width).astype(np.int16)
+        self.level = np.minimum((matrix - self.low) / self.width, LEVELS - 1).astype(np.int16)
         self.levels = int(self.level.max()) + 1
         order = np.argsort(self.level, axis=0, kind="stable")
         self.docs = np.ascontiguousarray(order.T)
@@ -51,8 +60,8 @@ class ImpactIndex:
         edges = np.arange(self.levels + 1)
         self.starts = np.stack([np.searchsorted(r, edges) for r in self.rank])
 
-    def search(self, q: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, exact scores) of all possible members of the top k; ``own`` marks excluded rows."""
+    def members(self, q: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
+        """Positions of all possible members of the top k; ``own`` marks excluded rows."""
         n, dims = self.matrix.shape
         last = self.levels - 1
         weight = np.abs(q) * self.width  # impact of one level
@@ -60,11 +69,16 @@ class ImpactIndex:
         low = np.zeros(n)
         seen = np.zeros(dims, dtype=np.int64)  # levels taken so far in each dimension, from its strong end
         top = float(weight.max()) * self.levels
-        slack = float(weight[self.width > 1].sum())  # what levels of more than one value hide
-        for share in (*ROUNDS, 0.0):
-            # a segment at distance i from the weak end has impact (i + 1) * weight
-            left = np.full(dims, self.levels) if share == 0 else np.ceil(share * top / np.maximum(weight, 1e-300)) - 1
-            take = (self.levels - np.clip(left, 0, self.levels)).astype(np.int64) if share else np.full(dims, self.levels)
+        # a row's levels are at most as wide as the impact of one; the single-precision sum below errs by less than the rest
+        slack = float(weight[self.width > 1].sum()) + 4e-6 * (1 + float(weight.sum()) * self.levels)
+        found = np.flatnonzero(~own)
+        for step in range(1, ROUNDS + 2):
+            if step <= ROUNDS:
+                # a segment at distance i from the weak end has impact (i + 1) * weight
+                left = np.ceil(np.minimum(FALL**step * top / np.maximum(weight, 1e-300), self.levels + 1.0)) - 1
+                take = (self.levels - np.clip(left, 0, self.levels)).astype(np.int64)
+            else:
+                take = np.full(dims, self.levels)
             for d in np.flatnonzero(take > seen):
                 a, b = (self.levels - take[d], self.levels - seen[d]) if up[d] else (seen[d], take[d])
                 span = slice(self.starts[d, a], self.starts[d, b])
@@ -72,37 +86,64 @@ class ImpactIndex:
                 low[self.docs[d, span]] += gain * weight[d]  # a vector stands once in a dimension
             seen = np.maximum(seen, take)
             high = low + slack
-            if share:
+            rest = (self.levels - seen) * weight
+            if rest.any():
                 # below the frontier a dimension can still give the impact of its next level
                 unknown = np.where(up, self.level < self.levels - seen, self.level >= seen)
-                high += unknown.astype(np.float32) @ ((self.levels - seen) * weight).astype(np.float32)
+                scale = max(float(rest.max()), 1e-300)
+                high += scale * (unknown.astype(np.float32) @ (rest / scale).astype(np.float32))
             floor = np.where(own, -np.inf, low)
             bar = np.partition(floor, n - k)[n - k] if n > k else -np.inf
-            members = np.flatnonzero((high >= bar - 1e-5 * (1 + abs(bar))) & ~own)
-            if len(members) <= max(4 * k, n * FEW):
+            found = np.flatnonzero((high >= bar) & ~own)
+            if len(found) <= max(4 * k, n * FEW):
                 break
-        exact = self.matrix[members] @ q
-        return members, exact
+        return found
+
+    def scores(self, q: np.ndarray, at: np.ndarray) -> list[int] | np.ndarray:
+        """Exact inner products of these rows."""
+        wide = self.largest[at] * max(1.0, np.abs(q).max()) * max(1, len(q)) >= WIDE
+        if not wide.any():
+            return self.matrix[at].astype(np.int64) @ q.astype(np.int64)
+        whole = [int(x) for x in q]
+        return [sum(int(x) * y for x, y in zip(self.matrix[i], whole, strict=True)) if w else int(self.matrix[i].astype(np.int64) @ q.astype(np.int64)) for i, w in zip(at, wide, strict=True)]
+
+
+def best_of(scores: list[int] | np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k highest, ties to the smaller id."""
+    if isinstance(scores, np.ndarray):
+        keep = blocks.best(scores, ids, k)
+        return ids[keep], scores[keep]
+    ranked = sorted(zip([-s for s in scores], ids.tolist(), strict=True))[:k]
+    for s, i in ranked:
+        if not -(1 << 63) <= -s < 1 << 63:
+            raise OverflowError(f"the score of vector {i} is {-s}, which no long can hold")
+    return np.array([i for _, i in ranked], dtype=np.int64), np.array([-s for s, _ in ranked], dtype=np.int64)
+
+
+def scaled(data: bytes, dim: int, scale: int) -> np.ndarray:
+    out = np.floor(np.frombuffer(data, dtype=np.float64).reshape(-1, dim) * scale)
+    if not np.isfinite(out).all():
+        raise OverflowError("a component is too large to be scaled")
+    return out
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score of the k highest integer inner products of each query."""
-    rows = blocks.usable(vectors)
-    scaled = rows.select("id", F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("v")).where(~F.exists("v", lambda x: (x > 2**31) | (x < -(2**31))))
-    candidates = blocks.pack(scaled, blocks.CANDIDATES, "int64")
-    queries = blocks.pack(blocks.query_rows(scaled, every), blocks.QUERIES, "int64")
+    rows = blocks.usable(vectors).select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    candidates = blocks.pack(rows, blocks.CANDIDATES, "float64")
+    queries = blocks.pack(blocks.query_rows(rows, every), blocks.QUERIES, "float64")
 
     def search(block, dim, ids, data, q_ids, q_data, cache):
         if cache.get("block") != block:
             cache.clear()
-            cache.update(block=block, index=ImpactIndex(np.frombuffer(data, dtype=np.int64).reshape(-1, dim)))
+            cache.update(block=block, index=ImpactIndex(scaled(data, dim, scale)))
         index = cache["index"]
         out: tuple[list, list, list] = ([], [], [])
-        for q_id, q in zip(q_ids, np.frombuffer(q_data, dtype=np.int64).reshape(-1, dim), strict=True):
-            at, exact = index.search(q, k, ids == q_id)
-            keep = blocks.best(exact, ids[at], k)
-            for x, y in zip(out, (np.full(len(keep), q_id), ids[at][keep], exact[keep]), strict=True):
+        for q_id, q in zip(q_ids, scaled(q_data, dim, scale), strict=True):
+            at = index.members(q, k, ids == q_id)
+            found, exact = best_of(index.scores(q, at), ids[at], k)
+            for x, y in zip(out, (np.full(len(found), q_id), found, exact), strict=True):
                 x.append(y)
         return tuple(np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in out)
 
-    return blocks.nearest(candidates, queries, "long", search, k)
+    return blocks.nearest(candidates, queries, "long", search, k, every)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, position
 
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‚‘’¿¡…–—"
 _SPACE = 1 << 24
@@ -158,7 +158,7 @@ def score_documents(docs: DataFrame, model: Model, column: str = "score") -> Dat
     columns = [c for c in docs.columns if c.lower() != column.lower()]
     source = docs.select(*[docs[c] for c in columns])
     schema = T.StructType([*source.schema.fields, T.StructField(column, T.DoubleType(), False)])
-    where = columns.index("text")
+    where = position(columns, "text")
 
     def run(batches):
         for batch in batches:

@@ -13,16 +13,22 @@ def test_fold_and_words(spark):
 
 
 def test_written_tables_live_in_the_shared_folder(spark):
-    mark = common.written()
-    first = common.materialize(spark.range(3).toDF("x"), "test-a")
-    last = common.materialize(first.where("x > 0"), "test-b")
-    paths = [p.removeprefix("file://") for p in common._written[mark:]]
-    assert all(p.startswith(common.shared_dir(spark).removeprefix("file://")) and os.path.isdir(p) for p in paths)
-    common.drop_written(spark, mark)
-    assert [os.path.isdir(p) for p in paths] == [False, True] and last.count() == 2
+    mine, other = common.Scratch(spark, "test"), common.Scratch(spark, "test")
+    first = mine.write(spark.range(3).toDF("x"), "a")
+    last, theirs = mine.write(first.where("x > 0"), "b"), other.write(first, "a")
+    place = mine.base.removeprefix("file://")
+    assert place.startswith(common.shared_dir(spark).removeprefix("file://"))
+    mine.drop("a", "never written")
+    assert os.listdir(place) == ["b"] and last.count() == 2 and theirs.count() == 3
     assert common.materialize(spark.range(0).toDF("x"), "test-c").count() == 0
 
 
+def test_shuffle_files_go_and_the_setting_stays(spark):
+    before = spark.conf.get(common._CLEANUP, None)
+    assert common.materialize(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "test-d").count() == 7
+    assert spark.conf.get(common._CLEANUP, None) == before
+
+
 def test_batches_are_bounded(spark):
     common.bound_batches(spark)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 16 * 1024 * 1024

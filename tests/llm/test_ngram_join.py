@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.llm import ngram_join
+from paperloom.llm.common import Scratch
 from paperloom.llm.components import connected_components
 
 RNG = random.Random(9)
@@ -79,6 +80,15 @@ def test_one_of_each(spark, documents):
     assert ngram_join.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_goes_by_row_not_by_id(spark, documents):
+    rows = [(1, "a b c d e f g"), (1, "totally other words than those before"), (None, "one two three four five"), (None, "ONE two three four five"), (None, "one two three four five"), (None, None), (None, None), (5, " "), (5, " "), (0, "one two three four five six seven eight nine ten"), (0, "")]
+    out = [(r.doc_id, r.text) for r in ngram_join.one_of_each(documents(rows).repartition(4)).collect()]
+    assert len(out) == 9
+    assert {(1, "a b c d e f g"), (1, "totally other words than those before"), (0, ""), (0, rows[9][1])} <= set(out)
+    assert out.count((None, None)) == 2 and out.count((5, " ")) == 2
+    assert sum(i is None and t is not None for i, t in out) == 1
+
+
 def test_all_rows_equal(spark, documents):
     got = ngram_join.similar_documents(documents([(i, "one text for all of the rows") for i in range(50)]), 3, 90, 100).collect()
     assert {r.component_id for r in got} == {0} and len(got) == 50
@@ -109,9 +119,9 @@ def test_points_of_very_large_sets(spark, documents, monkeypatch):
 
 def test_components_of_a_long_chain(spark):
     links = spark.range(0, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(500, 900), (900, 700)], "a long, b long"))
-    got = {r.id: r.label for r in connected_components(links).collect()}
+    got = {r.id: r.label for r in connected_components(links, Scratch(spark, "test"), "a").collect()}
     assert all(got[i] == 0 for i in range(201)) and got[700] == got[900] == 500
-    assert connected_components(links.limit(0)).count() == 0
+    assert connected_components(links.limit(0), Scratch(spark, "test"), "b").count() == 0
 
 
 def test_hashes_and_packing():

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -117,6 +118,75 @@ def test_terms_far_from_the_entity(spark, documents):
     assert clean[5001] == "glimbrook alone"
 
 
+def brute_terms(rows, generalise=0.8, remove=0.95, support=2, reveal=0.5):
+    """(doc_id, text) -> for each row its term spans with their actions, counted plainly."""
+    texts = [t or "" for _, t in rows]
+    spans = [brute(t) for t in texts]
+    words = [{pii.term_of(x) for x in t.split()} - {""} for t in texts]
+    outside = []
+    for t, s in zip(texts, spans, strict=True):
+        free = [m for m in re.finditer(r"\S+", t) if not any(a < m.end() and m.start() < b for _, a, b in s)]
+        outside.append([(pii.term_of(m.group()), m) for m in free if pii.term_of(m.group())])
+    entities = [dict() for _ in rows]
+    for own, t, s in zip(entities, texts, spans, strict=True):
+        for e, near in pii.mentions_of(t, s):
+            own[e] = min(near, own.get(e, near))
+    n, beside, alone = len(rows), [dict() for _ in rows], {}
+    stronger = lambda d, k, v: d.__setitem__(k, max(v, d.get(k, v)))
+    for e in {e for own in entities for e in own}:
+        of_e = [i for i in range(n) if e in entities[i]]
+        for term in {x for i in of_e for x, _ in outside[i]}:
+            both = [i for i in of_e if term in {x for x, _ in outside[i]}]
+            df_term, contexts = sum(term in w for w in words), len({entities[i][e] for i in both})
+            given = (contexts + support * len(of_e) / n) / (contexts * df_term / len(both) + support)
+            ratio = math.log2(n * given / len(of_e)) / max(math.log2(n / len(of_e)), 1e-9)
+            if ratio >= generalise:
+                action = "remove" if ratio >= remove else "generalise"
+                for i in both:
+                    stronger(beside[i], term, action)
+                if given >= reveal and df_term > len(both):
+                    stronger(alone, term, action)
+    out = []
+    for own, terms in zip(outside, beside, strict=True):
+        action = {x: max(a for a in (terms.get(x, ""), alone.get(x, "")) if a) for x, _ in own if x in terms or x in alone}
+        marks = [(m.start() + len(m.group()) - len(m.group().lstrip(pii._PUNCT)), m.end() - len(m.group()) + len(m.group().rstrip(pii._PUNCT)), action[x]) for x, m in own if x in action]
+        out.append(sorted(marks))
+    return out
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_thresholds_equal_plain_counting(spark, documents, monkeypatch, bound):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", bound)
+    rng = random.Random(4)
+    names = [f"{chr(97 + i)}name" for i in range(12)]
+    rows = []
+    for i in range(500):
+        who = rng.randrange(12)
+        text = " ".join(rng.choice(("plain", "text", "words", "note", "mail")) for _ in range(8))
+        if i % 3 == 0:
+            text += f" {names[who]} {rng.choice(('', '(' + names[who] + '), ', 'beside '))}{'user' + str(who)}@corp.com"
+        if i % 7 == 0:
+            text += " " + names[rng.randrange(12)]
+        rows.append((None if i % 50 == 0 else i, text))
+    rows += rows[9:12] + [(600, None), (601, "")]
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.row_key, tuple((s.start, s.end, s.action) for s in r.terms)) for r in pii.find_spans(documents(rows).repartition(3)).collect())
+    want = sorted(((i if i is not None else -1, tuple(marks)) for (i, _), marks in zip(rows, brute_terms(rows), strict=True)), key=repr)
+    assert sorted(((i, m) for i, _, m in got), key=repr) == want
+    assert sum(map(len, (m for _, m in want))) > 50
+
+
+def test_a_term_that_reveals_goes_everywhere(spark, documents):
+    docs = documents([*rows(), (950, "we met Zorblax yesterday"), (None, "zorblax")])
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect() if r.doc_id != 902}
+    assert clean[950] == "we met [TERM] yesterday" and clean[None] in ("[TERM]", "lost [EMAIL] here")
+    assert clean[0].startswith("note 0 mail [TERM] [EMAIL]") and clean[30] == dict(rows())[30]
+
+
+def test_text_column_by_any_case(spark):
+    docs = spark.createDataFrame([(1, "write a@b.co", "x")], "DOC_ID long, TEXT string, Base string")
+    assert [tuple(r) for r in pii.sanitise(docs).collect()] == [(1, "write [EMAIL]", "x")]
+
+
 def test_empty_table(spark, documents):
     empty = documents([(1, "x")]).limit(0)
     assert pii.digest(pii.find_spans(empty)).count() == 0 and pii.sanitise(empty).count() == 0

@@ -8,8 +8,9 @@ from paperloom.llm import ann, blocks, topk
 RNG = np.random.default_rng(3)
 
 
-def vectors(spark, rows, extra=""):
-    return spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int")
+def vectors(spark, rows, kind="float"):
+    """With a column that clashes with a result's."""
+    return spark.createDataFrame([(i, v, 0, "x") for i, v in rows], f"vec_id long, embedding array<{kind}>, label int, Score string")
 
 
 def odd_rows():
@@ -56,19 +57,51 @@ def test_exact_top_k(spark, monkeypatch):
 
 @pytest.mark.parametrize("shape", [(1, 3), (5, 1), (300, 16), (2000, 4), (500, 64)])
 def test_index_finds_all_members(shape):
-    matrix = np.round(RNG.standard_normal(shape) * 60).astype(np.int64)
+    matrix = np.round(RNG.standard_normal(shape) * 60)
     index = topk.ImpactIndex(matrix)
     for _ in range(20):
-        q = np.round(RNG.standard_normal(shape[1]) * 60).astype(np.int64)
+        q = np.round(RNG.standard_normal(shape[1]) * 60)
         own = np.zeros(shape[0], dtype=bool)
         own[RNG.integers(shape[0])] = True
-        at, exact = index.search(q, 5, own)
+        at = index.members(q, 5, own)
+        exact = index.scores(q, at)
         full = np.where(own, -(10**15), matrix @ q)
         best = np.sort(full)[::-1][: min(5, shape[0] - 1)]
         assert sorted(exact)[::-1][: len(best)] == list(best)
         assert (exact == full[at]).all()
 
 
+def test_index_stops_on_proof_and_looks_between_rounds():
+    """Few large components decide: most of the index is never taken."""
+    matrix = np.round(RNG.exponential(2, (4000, 8)) ** 4)
+    index = topk.ImpactIndex(matrix)
+    q, own = np.array([900.0] + [1.0] * 7), np.zeros(4000, dtype=bool)
+    assert len(index.members(q, 5, own)) <= 200
+
+
+@pytest.mark.parametrize(("large", "dim"), [(1e7, 2), (8e6, 64), (3e9, 3)])
+def test_large_components(spark, large, dim):
+    rows = [(i, [float(x) for x in RNG.standard_normal(dim)]) for i in range(120)]
+    rows += [(1001 + i, [large * (1 + i / 8)] + [1.0] * (dim - 1)) for i in range(4)] + [(2001, [-large] * dim), (2002, [large] * dim)]
+    rows += [(2050, [1.0] + [0.0] * (dim - 1)), (3050, [200.0] * dim), (4050, [-100.0] * dim)]
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    expected = brute(whole, lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)))
+    assert expected[2050][0][0] == 1004 and expected[3050][0][0] == (2002 if dim == 64 else expected[3050][0][0])
+    assert grouped(topk.top_k(vectors(spark, rows, "double")).collect()) == expected
+
+
+def test_a_score_beyond_long_is_an_error(spark):
+    rows = [(0, [4e15, 1.0]), (1, [4e15, 2.0])]
+    with pytest.raises(Exception, match="no long can hold"):
+        topk.top_k(vectors(spark, rows, "double")).collect()
+
+
+def test_norms_beyond_doubles(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [3e200, 3e200])]
+    got = grouped(ann.neighbours(vectors(spark, rows, "double")).collect())
+    assert [i for i, _ in got[0]] == [2, 1] and got[0][0][1] == pytest.approx(1) and got[0][1][1] == pytest.approx(0.5**0.5)
+
+
 def test_recall_and_exact_scores(spark):
     sf = "/root/testdata/sf0.1"
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
