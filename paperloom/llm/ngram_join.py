@@ -9,7 +9,8 @@ reach the threshold; survivors are compared set by set.
 Which points share a tree.  Two sets with similarity t or more share one of their first
 (1 - t) * n + 1 shingles in any common order of shingles.  The order here is rare first, by counts
 of all documents' shingles in a fixed table of ``CELLS`` cells; shingles of boilerplate come last
-and lead no one to a tree.  Each shared leading shingle is a tree; equal trees are built once.
+and lead no one to a tree.  Each shared leading shingle is a tree for each octave of set sizes, in
+which a set stands for the octaves of the sizes that it can link with; equal trees are built once.
 
 Groups of copies.  Equal sets become one vertex before anything else.  Near copies would make all
 pairs of a group survive, so links are found in rounds: first each vertex is compared with one
@@ -56,12 +57,12 @@ CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 #: Members of a tree that are listed in one row; larger ones are cut in leaves.
 LISTED = 64
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+BLOCK, BLOCK_BYTES = 1024, 1 << 20
 #: Pairs that share one copy of their leader's set.
 FOLLOWERS = 256
 LEAF, FAN = 16, 8
-#: Vertices whose ids are sent to all workers at most (8 bytes each), to pick sets where they lie.
-BROADCAST_IDS = 1_000_000
+#: Words of 64 ids sent to all executors at most (16 bytes each), to pick sets where they lie.
+BROADCAST_WORDS = 1_000_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -286,11 +287,17 @@ class Union:
 
 
 def pick(table: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rows of ``table`` whose rid is among ``id`` of ``ids``, picked where they lie while the ids are few enough to send."""
-    ids = scratch.write(ids.select(F.col("id").alias("_id")).distinct(), name)
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return table.join(ids, F.col("rid") == F.col("_id"), "left_semi")
+    """Rows of ``table`` whose rid is among ``id`` of ``ids``.
+
+    A task numbers its rows in turn, so 64 ids that follow each other are one word of bits; rows are
+    picked where they lie while the words are few enough to send.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("id", F.lit(64)).cast("int"))
+    words = scratch.write(ids.groupBy(F.shiftright("id", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")), name)
+    if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        words = F.broadcast(words)
+    here = F.getbit(F.col("_bits"), F.pmod("rid", F.lit(64))) == 1
+    return table.join(words, F.shiftright("rid", 6) == F.col("_word")).where(here).select(*table.columns)
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -500,7 +507,11 @@ def classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     vertex = t.write(full.groupBy("digest").agg(F.min("rid").alias("vid"), _first(full).alias("first")), "vertices")
     chosen = pick(full, vertex.select(F.col("vid").alias("id")), t, "ids-leads")
     points = full.select("rid", "n", "point")
-    leads = t.write(chosen.select("rid", "n", F.explode("lead").alias("token")), "leads")
+    # only sets of like size can link: a lead counts for the octaves of size that its set can meet
+    octave = lambda n: F.floor(F.log2(n)).cast("int")
+    reach = F.sequence(octave(F.col("n")), octave(F.floor(F.col("n") * den / num)))
+    leads = chosen.select("rid", "n", reach.alias("reach"), F.explode("lead").alias("lead")).select("rid", "n", "lead", F.explode("reach").alias("octave"))
+    leads = t.write(leads.select("rid", "n", F.xxhash64("lead", "octave").alias("token")), "leads")
     trees = leads.groupBy("token").agg(F.count("*").alias("size"), F.min("rid").alias("leader"), F.max("rid").alias("last")).where(F.col("size") > 1)
     trees = t.write(trees.withColumnRenamed("token", "_token"), "trees")
     within = t.write(leads.join(trees, F.col("token") == F.col("_token")).select("token", "rid", "n", "size", "leader", "last"), "members")

@@ -27,6 +27,8 @@ def corpus():
     base = [RNG.choice(VOCAB) for _ in range(120)]
     texts += [near(base, RNG.choice([1, 2, 3, 4])) for _ in range(60)]
     texts += ["Passage all share here now " + near([RNG.choice(VOCAB) for _ in range(50)], 0) for _ in range(20)]
+    base = [RNG.choice(VOCAB) for _ in range(66)]
+    texts += [" ".join(base[: 66 - i]) for i in range(0, 12, 2)]  # around a power of two
     texts += ["One  Two\tthree\nfour five six", "one two THREE four five six", "two words", "TWO words", "two", None, "", " \n ", "É one two", "é one two", "long " * 60_000]
     RNG.shuffle(texts)
     return [(i * 3, t) for i, t in enumerate(texts)]
@@ -66,7 +68,7 @@ def test_equals_brute_force(spark, documents, monkeypatch, k, num, listed, block
 
 def test_beyond_the_broadcast_bound(spark, documents, monkeypatch):
     rows = corpus()
-    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_WORDS", 0)
     got = ngram_join.similar_documents(documents(rows), 3, 90, 100).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 90, 100)
 
