@@ -55,6 +55,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return _write(df, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
 
 
+#: Narrow rows that one task writes to one file.
+ROWS_A_FILE = 500_000
+
+
 class Scratch:
     """The tables that one call of an operator writes on its way, in a folder of its own.
 
@@ -65,7 +69,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None, each: int = ROWS_A_FILE) -> DataFrame:
+        """``rows``, where it is known that there are no more: the table comes in as many files as these need."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // each)))
         return _write(df, f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -59,8 +59,10 @@ CELLS = 1 << CELL_BITS
 LISTED = 64
 BLOCK, BLOCK_BYTES = 1024, 1 << 20
 #: Pairs that share one copy of their leader's set.
-FOLLOWERS = 256
+FOLLOWERS = 64
 LEAF, FAN = 16, 8
+#: Pairs that one task compares, and pairs of leaves.
+PAIRS_A_TASK, LEAVES_A_TASK = 25_000, 64
 #: Words of 64 ids sent to all executors at most (16 bytes each), to pick sets where they lie.
 BROADCAST_WORDS = 1_000_000
 
@@ -286,14 +288,14 @@ class Union:
 # ---- links -----------------------------------------------------------------------------------
 
 
-def pick(table: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rows of ``table`` whose rid is among ``id`` of ``ids``.
+def pick(table: DataFrame, ids: DataFrame, scratch: Scratch, name: str, rows: int) -> DataFrame:
+    """Rows of ``table`` whose rid is among ``id`` of ``ids``, which are no more than ``rows``.
 
     A task numbers its rows in turn, so 64 ids that follow each other are one word of bits; rows are
     picked where they lie while the words are few enough to send.
     """
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("id", F.lit(64)).cast("int"))
-    words = scratch.write(ids.groupBy(F.shiftright("id", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")), name)
+    words = scratch.write(ids.groupBy(F.shiftright("id", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")), name, rows)
     if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
         words = F.broadcast(words)
     here = F.getbit(F.col("_bits"), F.pmod("rid", F.lit(64))) == 1
@@ -313,7 +315,7 @@ def beside_leader(table: DataFrame, pairs: DataFrame, payload: str, scratch: Scr
     heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).alias("_salts"))
     follow = pairs.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_salts")).alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("_id"))
     lead = heads.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("_id"))
-    rows = pick(table, ends(pairs), scratch, name).select("rid", "n", payload)
+    rows = pick(table, ends(pairs), scratch, name, 2 * pairs.count()).select("rid", "n", payload)
     placed = follow.unionByName(lead).join(rows, F.col("_id") == F.col("rid")).select("a", "salt", "kind", "rid", "n", payload)
     return placed.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
 
@@ -503,36 +505,44 @@ def classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     table = t.write(describe(docs, count_cells(docs, words), words, num, den), "sets")
     full = table.where(F.col("n") > 0)
 
+    n_docs = table.count()
+
     # one vertex for each distinct set
-    vertex = t.write(full.groupBy("digest").agg(F.min("rid").alias("vid"), _first(full).alias("first")), "vertices")
-    chosen = pick(full, vertex.select(F.col("vid").alias("id")), t, "ids-leads")
+    vertex = t.write(full.groupBy("digest").agg(F.min("rid").alias("vid"), _first(full).alias("first")), "vertices", n_docs)
+    chosen = pick(full, vertex.select(F.col("vid").alias("id")), t, "ids-leads", n_docs)
     points = full.select("rid", "n", "point")
     # only sets of like size can link: a lead counts for the octaves of size that its set can meet
     octave = lambda n: F.floor(F.log2(n)).cast("int")
     reach = F.sequence(octave(F.col("n")), octave(F.floor(F.col("n") * den / num)))
     leads = chosen.select("rid", "n", reach.alias("reach"), F.explode("lead").alias("lead")).select("rid", "n", "lead", F.explode("reach").alias("octave"))
     leads = t.write(leads.select("rid", "n", F.xxhash64("lead", "octave").alias("token")), "leads")
-    trees = leads.groupBy("token").agg(F.count("*").alias("size"), F.min("rid").alias("leader"), F.max("rid").alias("last")).where(F.col("size") > 1)
-    trees = t.write(trees.withColumnRenamed("token", "_token"), "trees")
-    within = t.write(leads.join(trees, F.col("token") == F.col("_token")).select("token", "rid", "n", "size", "leader", "last"), "members")
+    n_leads = leads.count()
+    member = F.struct("rid", "n")
+    trees = leads.groupBy("token").agg(F.count("*").alias("size"), F.min(member).alias("leader"), F.max(member).alias("last")).where(F.col("size") > 1)
+    trees = t.write(trees.withColumnRenamed("token", "_token"), "trees", n_leads // 2)
+    within = t.write(leads.join(trees.hint("merge"), F.col("token") == F.col("_token")).select("token", "rid", "n", "size", "leader", "last"), "members", n_leads)
     t.drop("ids-leads", "leads", "trees")
 
     # rounds against one leader
-    led = within.groupBy("rid").agg(F.min("leader").alias("leader"), F.max("last").alias("last"))
-    first = F.when(F.col("leader") != F.col("rid"), F.struct(F.col("leader").alias("a"), F.col("rid").alias("b")))
-    second = F.when(F.col("last") != F.col("rid"), F.struct(F.col("last").alias("a"), F.col("rid").alias("b")))
-    stars = t.write(led.select(F.explode(F.array(first, second)).alias("p")).where(F.col("p").isNotNull()).select("p.a", "p.b").distinct(), "stars")
-    tried = t.write(bounded(points, stars, num, den, t, "ids-stars"), "tried")
-    links = t.write(verify(full, tried, num, den, t, "ids-tried"), "links")
+    def led(end: str) -> DataFrame:
+        """Each vertex with the first of its trees' ends that is of like size."""
+        fits = (F.col(f"{end}.rid") != F.col("rid")) & (den * F.col(f"{end}.n") >= num * F.col("n")) & (den * F.col("n") >= num * F.col(f"{end}.n"))
+        return within.where(fits).groupBy(F.col("rid").alias("b")).agg(F.min(f"{end}.rid").alias("a")).select("a", "b")
+
+    stars = t.write(led("leader").unionByName(led("last")).distinct(), "stars", 2 * n_docs)
+    tried = t.write(bounded(points, stars, num, den, t, "ids-stars"), "tried", stars.count(), PAIRS_A_TASK)
+    links = t.write(verify(full, tried, num, den, t, "ids-tried"), "links", tried.count(), PAIRS_A_TASK)
     t.drop("stars", "ids-stars", "ids-tried")
     labels = connected_components(links, t, "labels")
 
     # trees between components
+    n_within = within.count()
     mixed = relabel(within.select("token", "rid", "n", "size"), labels)
     spread = mixed.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select(F.col("token").alias("_token"))
-    spread = t.write(spread, "spread")
-    mixed = t.write(mixed.join(spread, F.col("token") == F.col("_token")).select("token", "rid", "n", "size", "label"), "mixed")
+    spread = t.write(spread, "spread", n_within // 2)
+    mixed = t.write(mixed.join(spread, F.col("token") == F.col("_token")).select("token", "rid", "n", "size", "label"), "mixed", n_within)
     t.drop("members", "spread")
+    n_mixed = mixed.count()
     lists = mixed.where(F.col("size") <= LISTED).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rid", "label", "n"))).alias("l"))
 
     def company(x):
@@ -540,23 +550,28 @@ def classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         return F.exists("l", lambda y: (y["label"] != x["label"]) & (den * y["n"] >= num * x["n"]) & (den * x["n"] >= num * y["n"]))
 
     lists = lists.select(F.filter("l", company).alias("l")).where(F.size("l") > 1).distinct()
-    small = t.write(lists.select(F.xxhash64("l").alias("tree"), F.explode("l").alias("m")).select("tree", "m.rid", "m.label").distinct(), "small")
-    place = pick(points, small.select(F.col("rid").alias("id")), t, "ids-small").withColumnRenamed("rid", "_rid")
+    small = t.write(lists.select(F.xxhash64("l").alias("tree"), F.explode("l").alias("m")).select("tree", "m.rid", "m.label").distinct(), "small", n_mixed)
+    n_small = small.count()
+    place = pick(points, small.select(F.col("rid").alias("id")), t, "ids-small", n_small).withColumnRenamed("rid", "_rid")
     placed = small.join(place, F.col("rid") == F.col("_rid")).select("tree", "rid", "label", "n", "point").repartition("tree").sortWithinPartitions("tree")
     both = F.array_sort(F.array("a", "b"))
     known = tried.select(both[0].alias("a"), both[1].alias("b"))
-    pairs = t.write(small_tree_pairs(placed, num, den).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
+    pairs = t.write(small_tree_pairs(placed, num, den).distinct().join(known, ["a", "b"], "left_anti"), "pairs", n_small, PAIRS_A_TASK)
     t.drop("small", "ids-small", "tried")
+    more = t.write(verify(full, pairs, num, den, t, "ids-pairs"), "more", pairs.count(), PAIRS_A_TASK)
+    t.drop("pairs", "ids-pairs")
 
     order = ["tree", "label", "n", "rid"]
     big = mixed.where(F.col("size") > LISTED).select(F.col("token").alias("tree"), "rid", "label")
-    sets = pick(full, big.select(F.col("rid").alias("id")), t, "ids-big").select(F.col("rid").alias("_rid"), "n", "point", "members")
+    n_big = big.count()
+    sets = pick(full, big.select(F.col("rid").alias("id")), t, "ids-big", n_big).select(F.col("rid").alias("_rid"), "n", "point", "members")
     big = big.join(sets, F.col("rid") == F.col("_rid")).select(*order, "point", "members")
-    cut = t.write(leaves(big.repartitionByRange(*order).sortWithinPartitions(*order)), "leaves")
+    cut = t.write(leaves(big.repartitionByRange(*order).sortWithinPartitions(*order)), "leaves", n_big, PAIRS_A_TASK)
     t.drop("mixed", "ids-big")
-    met = t.write(leaf_pairs(cut, num, den), "leaf-pairs")
-    more = t.write(verify(full, pairs, num, den, t, "ids-pairs").unionByName(leaf_links(cut, met, num, den)), "more")
-    t.drop("pairs", "ids-pairs", "leaves", "leaf-pairs")
+    met = t.write(leaf_pairs(cut, num, den), "leaf-pairs", cut.count())
+    across = t.write(leaf_links(cut, met, num, den), "across", met.count(), LEAVES_A_TASK)
+    t.drop("leaves", "leaf-pairs")
+    more = more.unionByName(across)
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more), t, "labels-2")
 
@@ -565,9 +580,8 @@ def classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     of_set = of_vertex.join(smallest, F.col("label") == F.col("_l")).select(F.col("digest").alias("_digest"), F.col("smallest").alias("first"))
     rows = ["doc_id", "h1", "h2", "n"]
     out = full.join(of_set, F.col("digest") == F.col("_digest")).select(*rows, "first")
-    out = t.write(out.unionByName(table.where(F.col("n") == 0).select(*rows, F.lit(None).cast(out.schema["first"].dataType).alias("first"))), "result")
-    # what is left besides the result
-    t.drop("sets", "vertices", "links", "more")
+    out = t.write(out.unionByName(table.where(F.col("n") == 0).select(*rows, F.lit(None).cast(out.schema["first"].dataType).alias("first"))), "result", n_docs)
+    t.drop("sets", "vertices", "links", "more", "across")
     return out
 
 

@@ -82,3 +82,71 @@ def test_pairs_alone_decide_scores():
     x[:, 0] = np.linspace(0, 1, 200)
     model = quality.fit(x, np.arange(200) >= 50)
     assert ((model.score(x) >= quality.CUT) == (np.arange(200) >= 50)).mean() > 0.9
+
+
+def test_risk_gradient_equals_differences():
+    """Against the risk written out with loops, on both sides of the correction."""
+    rng = np.random.default_rng(2)
+    p, u = (rng.integers(0, 2, (n, 6)) for n in (9, 14))
+    side = lambda x: (*np.nonzero(x), len(x))
+    soft = lambda z: float(np.log1p(np.exp(z)))
+
+    def parts(theta, prior):
+        zp, zu = p @ theta[:-1] + theta[-1], u @ theta[:-1] + theta[-1]
+        return prior * sum(soft(-z) for z in zp) / 9, sum(soft(z) for z in zu) / 14 - prior * sum(soft(z) for z in zp) / 9
+
+    seen = set()
+    for _ in range(60):
+        theta, prior = rng.normal(0, 2, 7), rng.uniform(0.05, 0.9)
+        plus, bracket = parts(theta, prior)
+        value, gradient = toxicity.risk(side(p), side(u), prior, theta[:-1], theta[-1])
+        assert value == pytest.approx(plus + max(0, bracket))
+        goal = (lambda t: sum(parts(t, prior))) if bracket >= 0 else (lambda t: -parts(t, prior)[1])  # noqa: B023
+        naive = [(goal(theta + d) - goal(theta - d)) / 2e-5 for d in np.eye(7) * 1e-5]
+        assert gradient == pytest.approx(naive, abs=1e-6)
+        seen.add(bracket >= 0)
+    assert seen == {True, False}
+
+
+def test_pair_gradient_equals_differences():
+    rng = np.random.default_rng(3)
+    winners, losers, w = rng.integers(0, 12, (20, 3)), rng.integers(0, 12, (20, 3)), rng.normal(0, 1, 12)
+    loss = lambda w: np.mean([np.log1p(np.exp(-(sum(w[a]) - sum(w[b])))) for a, b in zip(winners, losers, strict=True)])
+    naive = [(loss(w + d) - loss(w - d)) / 2e-5 for d in np.eye(12) * 1e-5]
+    assert quality.pair_gradient(winners, losers, w) == pytest.approx(naive, abs=1e-7)
+
+
+def test_weighted_quantiles():
+    x = np.array([5.0, 1.0, 3.0])
+    assert quality.weighted_quantiles(x, np.array([1.0, 1.0, 2.0]), np.array([0.2, 0.5, 0.8, 1.0])).tolist() == [1.0, 3.0, 5.0, 5.0]
+
+
+def test_unspaced_scripts_and_short_words():
+    assert len(toxicity.word_features("毒言葉です")) == 4 and len(toxicity.word_features("毒")) == 1
+    assert len(toxicity.word_features("ox")) == 1 and toxicity.word_features("--") == ()
+    docs = [f"普通の文章{i}です" for i in range(40)]
+    bad = [f"とても毒言葉{i}だ" for i in range(40)]
+    sets = [[toxicity.text_features(t) for t in x] for x in (bad[:20], docs[:30] + bad[20:30])]
+    model = toxicity.fit(sets[0], sets[1], 0.25)
+    assert all(model.score(t) > 0.5 for t in bad[30:]) and all(model.score(t) < 0.5 for t in docs[30:])
+
+
+def test_prior_comes_from_positives_and_unlabelled(spark, documents):
+    """Turning every non-toxic label changes nothing; the bound is near the true share."""
+    from paperloom.llm.common import Scratch
+
+    docs = documents([(i, f"fine words here number {i}" if i % 5 else f"zorkish thing {i}") for i in range(600)] + [(7, "again")] * 50)
+    labels = labelled(spark, [(i, 1, int(i % 5 == 0)) for i in range(0, 300)])
+    a = toxicity.train(docs, labels, F.lit(True))
+    b = toxicity.train(docs, labels.where("toxic = 1").unionByName(labelled(spark, [(1, None, None)])), F.lit(True))
+    assert (a.weights, a.bias) == (b.weights, b.bias)
+    rows = toxicity.training_features(docs, labels, F.lit(True), 4000, Scratch(spark, "test"))
+    assert rows.where("p = 0").count() == 601 and rows.where("p = 1").count() == 60
+    small = toxicity.training_features(docs, labels, F.lit(True), 20, Scratch(spark, "test"))
+    assert small.where("p = 0").count() == 40 and small.where("p = 1").count() == 20
+
+
+def test_empty_tables(spark, documents):
+    docs, labels = documents([(1, "a")]).limit(0), labelled(spark, [(1, 1, 1)])
+    assert toxicity.score_documents(docs, toxicity.train(docs, labels, F.lit(True))).count() == 0
+    assert quality.train(docs, labels, F.lit(True)) is None
