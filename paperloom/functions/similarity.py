@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def character_set(text: Column) -> Column:
@@ -12,6 +16,26 @@ def character_set(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(kept, "")), lambda c: c != "")
 
 
+@F.pandas_udf(T.StringType())
+def _character_key(texts: pd.Series) -> pd.Series:
+    kept: dict[str, str] = {}
+
+    def key(text: str) -> str:
+        if "Σ" in text:  # the one letter whose lower case depends on what stands around it
+            text = "".join(c for c in text if unicodedata.category(c)[0] in "LN").lower()
+        chars = set(text)
+        for c in chars - kept.keys():
+            kept[c] = c.lower() if unicodedata.category(c)[0] in "LN" else ""
+        return "".join(sorted(set("".join(kept[c] for c in chars))))
+
+    return texts.map(key, na_action="ignore")
+
+
+def character_key(text: Column) -> Column:
+    """The character set as one short string, in order: equal keys are equal sets."""
+    return _character_key(text)
+
+
 def set_similarity(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
     """Jaccard of two character sets; an empty text is like nothing, two sets without characters are equal."""
     common = F.size(F.array_intersect(a, b))

@@ -5,61 +5,221 @@ All of these are data that results depend on, kept as plain text.
 
 from __future__ import annotations
 
-# Replacements by result.  Each line is a result and the characters it stands for.
-_REPLACEMENTS = {
-    ".": "\U00010236․",
-    "..": "‥",
-    "-": "⁃‐‑‒–−",
-    "--": "—―",
-    "...": "…⋯",
-    " ": "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000",
-    "'": "‘’‚‛′‵ʹʼˈ",
-    '"': "“”„‟″‶ʺ「」『』",
-    "<": "〈",
-    ">": "〉‣▶▸",
-    "<<": "《",
-    ">>": "》",
-    "[": "【〔",
-    "]": "】〕",
-    "[[": "〖",
-    "]]": "〗",
-    "~": "～〜〰∼≈",
-    "*": "•●×∗",
-    "o": "○",
-    "/": "÷∕",
-    "|": "∣",
-    ":": "∶",
-    "!=": "≠",
-    "<=": "≤",
-    ">=": "≥",
-    "c": "¢",
-    "GBP": "£",
-    "CNY": "¥",
-    "EUR": "€",
-    "(C)": "©",
-    "(R)": "®",
-    "(TM)": "™",
-    "deg": "°",
-    "degC": "℃",
-    "degF": "℉",
+# fmt: off
+# Character -> replacement, by code point.
+CHARACTERS = {
+    "\u00a0": " ",
+    "¢": "c",
+    "£": "GBP",
+    "¥": "CNY",
+    "©": "(C)",
+    "®": "(R)",
+    "°": "deg",
+    "²": "2",
+    "³": "3",
+    "¹": "1",
+    "×": "*",
+    "÷": "/",
+    "ʹ": "'",
+    "ʺ": '"',
+    "ʼ": "'",
+    "ˈ": "'",
+    "\u2000": " ",
+    "\u2001": " ",
+    "\u2002": " ",
+    "\u2003": " ",
+    "\u2004": " ",
+    "\u2005": " ",
+    "\u2006": " ",
+    "\u2007": " ",
+    "\u2008": " ",
+    "\u2009": " ",
+    "\u200a": " ",
+    "‐": "-",
+    "‑": "-",
+    "‒": "-",
+    "–": "-",
+    "—": "--",
+    "―": "--",
+    "‘": "'",
+    "’": "'",
+    "‚": "'",
+    "‛": "'",
+    "“": '"',
+    "”": '"',
+    "„": '"',
+    "‟": '"',
+    "•": "*",
+    "‣": ">",
+    "․": ".",
+    "‥": "..",
+    "…": "...",
+    "\u202f": " ",
+    "′": "'",
+    "″": '"',
+    "‵": "'",
+    "‶": '"',
+    "⁃": "-",
+    "\u205f": " ",
+    "⁰": "0",
+    "⁴": "4",
+    "⁵": "5",
+    "⁶": "6",
+    "⁷": "7",
+    "⁸": "8",
+    "⁹": "9",
+    "₀": "0",
+    "₁": "1",
+    "₂": "2",
+    "₃": "3",
+    "₄": "4",
+    "₅": "5",
+    "₆": "6",
+    "₇": "7",
+    "₈": "8",
+    "₉": "9",
+    "€": "EUR",
+    "℃": "degC",
+    "℉": "degF",
+    "™": "(TM)",
+    "Ⅰ": "I",
+    "Ⅱ": "II",
+    "Ⅲ": "III",
+    "Ⅳ": "IV",
+    "Ⅴ": "V",
+    "Ⅵ": "VI",
+    "Ⅶ": "VII",
+    "Ⅷ": "VIII",
+    "Ⅸ": "IX",
+    "Ⅹ": "X",
+    "ⅰ": "i",
+    "ⅱ": "ii",
+    "ⅲ": "iii",
+    "ⅳ": "iv",
+    "ⅴ": "v",
+    "ⅵ": "vi",
+    "ⅶ": "vii",
+    "ⅷ": "viii",
+    "ⅸ": "ix",
+    "ⅹ": "x",
+    "−": "-",
+    "∕": "/",
+    "∗": "*",
+    "∣": "|",
+    "∶": ":",
+    "∼": "~",
+    "≈": "~",
+    "≠": "!=",
+    "≤": "<=",
+    "≥": ">=",
+    "⋯": "...",
+    "①": "(1)",
+    "②": "(2)",
+    "③": "(3)",
+    "④": "(4)",
+    "⑤": "(5)",
+    "⑥": "(6)",
+    "⑦": "(7)",
+    "⑧": "(8)",
+    "⑨": "(9)",
+    "⑩": "(10)",
+    "⑪": "(11)",
+    "⑫": "(12)",
+    "⑬": "(13)",
+    "⑭": "(14)",
+    "⑮": "(15)",
+    "⑯": "(16)",
+    "⑰": "(17)",
+    "⑱": "(18)",
+    "⑲": "(19)",
+    "⑳": "(20)",
+    "⑴": "(1)",
+    "⑵": "(2)",
+    "⑶": "(3)",
+    "⑷": "(4)",
+    "⑸": "(5)",
+    "⑹": "(6)",
+    "⑺": "(7)",
+    "⑻": "(8)",
+    "⑼": "(9)",
+    "⑽": "(10)",
+    "Ⓐ": "(A)",
+    "Ⓑ": "(B)",
+    "Ⓒ": "(C)",
+    "Ⓓ": "(D)",
+    "Ⓔ": "(E)",
+    "Ⓕ": "(F)",
+    "Ⓖ": "(G)",
+    "Ⓗ": "(H)",
+    "Ⓘ": "(I)",
+    "Ⓙ": "(J)",
+    "Ⓚ": "(K)",
+    "Ⓛ": "(L)",
+    "Ⓜ": "(M)",
+    "Ⓝ": "(N)",
+    "Ⓞ": "(O)",
+    "Ⓟ": "(P)",
+    "Ⓠ": "(Q)",
+    "Ⓡ": "(R)",
+    "Ⓢ": "(S)",
+    "Ⓣ": "(T)",
+    "Ⓤ": "(U)",
+    "Ⓥ": "(V)",
+    "Ⓦ": "(W)",
+    "Ⓧ": "(X)",
+    "Ⓨ": "(Y)",
+    "Ⓩ": "(Z)",
+    "ⓐ": "(a)",
+    "ⓑ": "(b)",
+    "ⓒ": "(c)",
+    "ⓓ": "(d)",
+    "ⓔ": "(e)",
+    "ⓕ": "(f)",
+    "ⓖ": "(g)",
+    "ⓗ": "(h)",
+    "ⓘ": "(i)",
+    "ⓙ": "(j)",
+    "ⓚ": "(k)",
+    "ⓛ": "(l)",
+    "ⓜ": "(m)",
+    "ⓝ": "(n)",
+    "ⓞ": "(o)",
+    "ⓟ": "(p)",
+    "ⓠ": "(q)",
+    "ⓡ": "(r)",
+    "ⓢ": "(s)",
+    "ⓣ": "(t)",
+    "ⓤ": "(u)",
+    "ⓥ": "(v)",
+    "ⓦ": "(w)",
+    "ⓧ": "(x)",
+    "ⓨ": "(y)",
+    "ⓩ": "(z)",
+    "▶": ">",
+    "▸": ">",
+    "○": "o",
+    "●": "*",
+    "\u3000": " ",
+    "〈": "<",
+    "〉": ">",
+    "《": "<<",
+    "》": ">>",
+    "「": '"',
+    "」": '"',
+    "『": '"',
+    "』": '"',
+    "【": "[",
+    "】": "]",
+    "〔": "[",
+    "〕": "]",
+    "〖": "[[",
+    "〗": "]]",
+    "〜": "~",
+    "〰": "~",
+    "～": "~",
+    "\U00010236": ".",
 }
-_ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X")
-_SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
-
-
-def character_map() -> dict[str, str]:
-    """Character -> replacement; the enclosed and numeral series follow by rule."""
-    out = {c: result for result, chars in _REPLACEMENTS.items() for c in chars}
-    for i, c in enumerate(_SUPERSCRIPTS):
-        out[c] = out[chr(0x2080 + i)] = str(i)
-    for i, numeral in enumerate(_ROMAN):
-        out[chr(0x2160 + i)], out[chr(0x2170 + i)] = numeral, numeral.lower()
-    for first, last, label in ((0x2460, 20, 1), (0x2474, 10, 1)):
-        out |= {chr(first + i): f"({label + i})" for i in range(last)}
-    for first, letter in ((0x24B6, "A"), (0x24D0, "a")):
-        out |= {chr(first + i): f"({chr(ord(letter) + i)})" for i in range(26)}
-    return out
-
+# fmt: on
 
 # Highlight index -> colour.
 HIGHLIGHTS = {

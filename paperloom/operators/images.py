@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import IMAGE_EXTENSIONS
 
-#: One <img> tag with its source; of several the last ``src=`` in a tag counts.
+# Fixed value: one <img> tag with its source; of several the last ``src=`` in a tag counts.
 IMG_SRC = r"(?i)<img[^>]+src=[\"']([^\"']+)[\"'][^>]*>"
 
 
@@ -65,6 +65,11 @@ def place_images(images: DataFrame, paragraphs: DataFrame, rules: ImageRules = I
     return images.join(first, ["doc", "page", "index"], "left")
 
 
+def ordered_images(images: DataFrame) -> DataFrame:
+    """Adds ``pos``: an image's place on its page from the top, of equally high ones by index."""
+    return images.withColumn("pos", F.row_number().over(Window.partitionBy("doc", "page").orderBy("y0", "index")))
+
+
 def first_image_rect(images: DataFrame, image_blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds x0, y0, x1, y1 of the page's first image block, or of the page if it has none."""
     box = F.struct("x0", "y0", "x1", "y1")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, escape_html, is_blank, nfkc, strip
+from ..functions.text import clean_text, escape_html, is_blank, strip
 
 PAGE = ("doc_id", "page_num")
 
@@ -81,6 +81,7 @@ def blocks_to_lines(blocks: DataFrame, layout: Layout = Layout()) -> DataFrame:
     )
 
 
+# Fixed values in it: the patterns of a chapter and a section number.
 def paragraph_type(text: Column, size: Column, layout: Layout = Layout()) -> Column:
     """Heading level by size, else by a chapter or section number in front, else p."""
     return F.when(size > layout.h2_above, "h2").when(size > layout.h3_above, "h3").when(text.rlike(r"^第[一二三四五六七八九十\p{Nd}]+章"), "h1").when(text.rlike(r"^\p{Nd}+[.、]"), "h3").otherwise("p")
@@ -104,9 +105,7 @@ def lines_to_paragraphs(lines: DataFrame, layout: Layout = Layout(), **normalize
         (F.abs(F.col("l")[0]["x0"] - layout.center) < layout.center_tolerance).alias("is_center"),
     )
     # the cleaned text comes out of an explode, so the filter and the type below don't compute it again
-    options = {"use_nfkc": True} | normalize_options
-    raw = nfkc(F.col("_raw")) if options["use_nfkc"] else F.col("_raw")
-    cleaned = F.transform(F.array(raw), lambda t: clean_text(t, **(options | {"use_nfkc": False})))
+    cleaned = F.array(clean_text(F.col("_raw"), **normalize_options))
     merged = merged.withColumn("text", F.explode(F.filter(cleaned, lambda t: ~is_blank(t))))
     return merged.withColumn("type", paragraph_type(F.col("text"), F.col("size"), layout)).select(*PAGE, "para_no", "text", "type", "size", "y0", "is_center")
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.css import alignment_name
 from ..functions.text import is_blank, strip
 
+# What counts as an element and as an image paragraph.
 ELEMENT = r"(?s)<(p|h[1-6])([^>]*)(>)(.*?)(</\1>)"
 IMAGE_PARAGRAPH = r"<p>\s*<img[^>]+>\s*</p>"
 BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6")
@@ -23,10 +24,13 @@ def elements(pages: DataFrame, html: str = "html") -> DataFrame:
 
     The pattern also takes tags that begin with p, such as <pre ...>...</p>.
     """
-    part = lambda i: F.regexp_extract_all(F.col(html), F.lit(ELEMENT), F.lit(i))
-    zipped = F.arrays_zip(part(1).alias("tag"), part(2).alias("attrs"), part(4).alias("inner_html"))
-    found = pages.select(*[c for c in pages.columns if c != html], F.posexplode(zipped).alias("elem_no", "_e"))
-    return found.select(*found.columns[:-1], "_e.tag", "_e.attrs", "_e.inner_html")
+    matches = F.regexp_extract_all(F.col(html), F.lit(ELEMENT), F.lit(0))
+    found = pages.select(*[c for c in pages.columns if c != html], F.posexplode(matches).alias("elem_no", "_e"))
+    tag = F.when(F.col("_e").startswith("<p"), "p").otherwise(F.substring("_e", 2, 2))
+    open_end = F.locate(">", F.col("_e"))
+    attrs = F.substr(F.col("_e"), F.length(tag) + 2, open_end - F.length(tag) - 2)
+    inner = F.substr(F.col("_e"), open_end + 1, F.length("_e") - open_end - F.length(tag) - 3)
+    return found.select(*found.columns[:-1], tag.alias("tag"), attrs.alias("attrs"), inner.alias("inner_html"))
 
 
 class _Tree(HTMLParser):
@@ -185,7 +189,7 @@ _BLOCKS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Str
 
 @F.pandas_udf(_BLOCKS)
 def tree_blocks(trees: pd.Series) -> pd.Series:
-    """JSON document tree -> kind and stripped text of its paragraphs and headings, nested ones included."""
+    """JSON document tree -> kind and stripped text of its title, paragraphs and headings, nested ones included."""
 
     def walk(nodes, out):
         for node in nodes if isinstance(nodes, list) else []:
@@ -205,15 +209,21 @@ def tree_blocks(trees: pd.Series) -> pd.Series:
             tree = json.loads(value) if value else {}
         except ValueError:
             return out
-        walk(tree.get("blocks", []) if isinstance(tree, dict) else tree, out)
+        if isinstance(tree, dict):
+            title = (tree.get("meta") or {}).get("title")
+            if isinstance(title, dict):
+                out.append({"kind": "Title", "text": inline_text(title.get("c") or []).strip()})
+            walk(tree.get("blocks", []), out)
+        else:
+            walk(tree, out)
         return out
 
     return trees.map(parse)
 
 
 def tree_elements(docs: DataFrame, tree: str = "ast") -> DataFrame:
-    """Blocks of document trees as elements that ``matching`` can take (headings match exactly only,
-    and their text, which stands in a bare list, is empty)."""
+    """Blocks of document trees as elements that ``matching`` can take (titles and headings match exactly
+    only; a heading's text, which stands in a bare list, is empty)."""
     rest = [c for c in docs.columns if c != tree]
     found = docs.select(*rest, F.posexplode(tree_blocks(F.col(tree))).alias("elem_no", "_e"))
     return found.select(*rest, "elem_no", F.col("_e.kind").alias("tag"), F.lit(None).cast("string").alias("id"), strip(F.col("_e.text")).alias("text"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import config, css, text
@@ -13,34 +11,12 @@ from ..sources import files, packages
 from ..streaming import ingest
 from . import fixtures as fx
 from . import sql_text as sql
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a query under its function's name, with its SQL if there is any."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if oracle:
-            _ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+from .registry import query
 
 
 # ---- text ------------------------------------------------------------------------------------
 
-_SYMBOLS = (("é", "—"), ("è", "≠"), ("ñ", "€"), ("ü", "“x…"), ("ß", "『°』"))
+_SYMBOLS = (("é", "—"), ("è", "≠"), ("ñ", "€"), ("ü", "“x…"), ("ß", "『°』"), ("ä", "〈•"))
 
 
 def _swapped(expr: str, pairs) -> str:
@@ -62,7 +38,7 @@ def normalize_documents(spark, sf_dir):
 
 @query(f"SELECT doc_id, {sql.normalized(_swapped('text', _SYMBOLS))} AS normalized FROM documents")
 def normalize_injected_symbols(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", text.normalize(_swap(F.col("text"), _SYMBOLS), use_nfkc=False).alias("normalized"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", text.normalize(_swap(F.col("text"), _SYMBOLS)).alias("normalized"))
 
 
 @query(f"SELECT doc_id, {sql.normalized(_swapped('text', (('é', '1'), ('è', 'A'), ('ü', 'TM'), ('ñ', 'fi'))))} AS normalized FROM documents")
@@ -242,8 +218,7 @@ _SCORE = """CASE WHEN length({0}.text) = 0 OR length({1}.text) = 0 THEN 0.0 WHEN
 def similarity_top1(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
     items = fx.table(spark, sf_dir, "benchmark").select("text", F.col("item_id").alias("id"), F.col("item_id").alias("pos"))
-    best = matching.most_similar(docs, items, [])
-    return docs.join(best.withColumnRenamed("text", "_text"), F.col("text") == F.col("_text")).select("doc_id", F.col("match").alias("item_id"), "score")
+    return matching.most_similar(docs, items, []).select("doc_id", F.col("match").alias("item_id"), "score")
 
 
 @query(
@@ -376,16 +351,17 @@ def img_rename(spark, sf_dir):
 
 @query(
     f"""
-    WITH {_SOURCES}, r AS (SELECT page_id, src, '../uploads/images/' || substr(md5(src), 1, 16) || ext AS path FROM kinds WHERE kind <> 'ignored' AND pos = 0)
-    SELECT m.page_id, CASE WHEN r.src IS NULL THEN m.html ELSE replace(m.html, t.tag, replace(t.tag, r.src, r.path)) END AS html
-    FROM marked m LEFT JOIN r USING (page_id), LATERAL (SELECT regexp_extract(m.html, '(?i)<img[^>]+src=["''][^"'']+["''][^>]*>') AS tag) t
+    WITH {_SOURCES}, r AS (SELECT page_id, src, '../uploads/images/' || substr(md5(src), 1, 16) || ext AS path FROM kinds WHERE kind <> 'ignored')
+    SELECT m.page_id, CASE WHEN r.src IS NULL THEN m.html ELSE replace(m.html, r.src, r.path) END AS html
+    FROM marked m LEFT JOIN r USING (page_id)
     """
 )
 def img_localize(spark, sf_dir):
+    """Every source of a page that is not ignored; the SQL relies on there being one at most and on its text standing once."""
     pages = fx.marked_pages(spark, sf_dir)
     src = images.image_sources(F.col("html"))
-    first = F.filter(F.transform(F.slice(src, 1, 1), lambda s: F.struct(s.alias("src"), images.relative_path(images.image_name(s)).alias("path"))), lambda p: images.source_kind(p["src"]) != "ignored")
-    return pages.select("page_id", images.localize_images(F.col("html"), first).alias("html"))
+    pairs = F.filter(F.transform(src, lambda s: F.struct(s.alias("src"), images.relative_path(images.image_name(s)).alias("path"))), lambda p: images.source_kind(p["src"]) != "ignored")
+    return pages.select("page_id", images.localize_images(F.col("html"), pairs).alias("html"))
 
 
 @query(
@@ -406,12 +382,12 @@ def base64_images(spark, sf_dir):
 
 @query(f"WITH {fx.IMAGES_SQL} SELECT doc, page, index, rule AS reason FROM judged")
 def image_filter(spark, sf_dir):
-    return fx.images(spark, sf_dir).select("doc", "page", "index", images.rejection().alias("reason"))
+    return fx.images(spark, sf_dir).select("doc", "page", "index", images.rejection(pixels=True).alias("reason"))
 
 
 @query(f"WITH {fx.IMAGES_SQL} SELECT doc, page, index, reason FROM filtered")
 def image_dedupe(spark, sf_dir):
-    return images.filter_images(fx.images(spark, sf_dir)).select("doc", "page", "index", "reason")
+    return images.filter_images(fx.images(spark, sf_dir), pixels=True).select("doc", "page", "index", "reason")
 
 
 @query(
@@ -425,7 +401,7 @@ def image_dedupe(spark, sf_dir):
     """
 )
 def image_place(spark, sf_dir):
-    kept = images.filter_images(fx.images(spark, sf_dir)).where(F.col("reason").isNull())
+    kept = images.filter_images(fx.images(spark, sf_dir), pixels=True).where(F.col("reason").isNull())
     placed = images.place_images(kept, fx.image_paragraphs(spark, sf_dir))
     return placed.select("doc", "page", "index", F.col("para_no").cast("int").alias("para_no"), images.render_image(F.lit("x"), F.col("width"), F.col("height")).alias("html"))
 
@@ -663,6 +639,6 @@ def stream_normalize(spark, sf_dir):
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = fx.table(spark, sf_dir, "documents").schema
-    stream = ingest.normalize_stream(ingest.stream_table(spark, f"{sf_dir}/documents.parquet*", schema), use_nfkc=False).select("doc_id", "normalized")
+    stream = ingest.normalize_stream(ingest.stream_table(spark, f"{sf_dir}/documents.parquet*", schema)).select("doc_id", "normalized")
     ingest.write_stream(stream, f"{place}/out", f"{place}/state").awaitTermination()
     return spark.read.parquet(f"{place}/out")

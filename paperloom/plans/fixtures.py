@@ -101,6 +101,13 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
         (40 + F.pmod(d * 29, F.lit(900))).cast("double").alias("height"),
         F.col("n_chars").alias("size"),
         F.md5(F.pmod(d, F.lit(7)).cast("string").cast("binary")).alias("md5"),
+        # every fifth image couldn't be decoded
+        F.when(F.pmod(d, F.lit(5)) < 4, 20 + F.pmod(d * 11, F.lit(300))).cast("int").alias("px_width"),
+        F.when(F.pmod(d, F.lit(5)) < 4, 20 + F.pmod(d * 17, F.lit(300))).cast("int").alias("px_height"),
+        F.try_element_at(F.array(*[F.lit(m) for m in ("RGB", "L", "1", "P")]), (F.pmod(d, F.lit(5)) + 1).cast("int")).alias("mode"),
+        F.when((F.pmod(d, F.lit(5)) < 4) & (F.pmod(d, F.lit(7)) != 0), F.pmod(d * 3, F.lit(30))).cast("int").alias("n_colors"),
+        F.when(F.pmod(d, F.lit(5)) < 4, F.pmod(d, F.lit(10))).cast("int").alias("grey_min"),
+        F.when(F.pmod(d, F.lit(5)) < 4, F.pmod(d, F.lit(10)) + F.pmod(d * 13, F.lit(60))).cast("int").alias("grey_max"),
     )
 
 
@@ -108,11 +115,14 @@ IMAGES_SQL = r"""
 images AS (
   SELECT doc_id // 20 AS doc, doc_id % 4 AS page, doc_id AS index, ((doc_id * 37) % 800)::DOUBLE AS y0,
          (40 + (doc_id * 13) % 900)::DOUBLE AS width, (40 + (doc_id * 29) % 900)::DOUBLE AS height,
-         n_chars AS size, md5((doc_id % 7)::VARCHAR) AS md5
+         n_chars AS size, md5((doc_id % 7)::VARCHAR) AS md5, doc_id
   FROM documents
 ), judged AS (
   SELECT *, CASE WHEN size < 1024 THEN 'bytes' WHEN width < 80 OR height < 80 THEN 'small'
-                 WHEN width / height < 0.2 THEN 'thin' WHEN width / height > 5 THEN 'wide' END AS rule
+                 WHEN width / height < 0.2 THEN 'thin' WHEN width / height > 5 THEN 'wide'
+                 WHEN doc_id % 5 = 4 THEN NULL WHEN (doc_id * 11) % 300 < 30 OR (doc_id * 17) % 300 < 30 THEN 'pixels'
+                 WHEN doc_id % 5 < 2 AND doc_id % 7 <> 0 AND (doc_id * 3) % 30 < 10 THEN 'colors'
+                 WHEN doc_id % 5 IN (1, 2) AND (doc_id * 13) % 60 < 20 THEN 'uniform' END AS rule
   FROM images
 ), filtered AS (
   SELECT *, CASE WHEN rule IS NULL AND row_number() OVER (PARTITION BY doc, rule IS NULL, md5 ORDER BY page, index) > 1

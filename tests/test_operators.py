@@ -250,3 +250,77 @@ def test_streams(spark, tmp_path):
     q = counted.writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.format, r.n_files) for r in spark.table("hours").collect()] == [("plain", 1)]
+
+
+def test_png_filters_and_modes():
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from paperloom.functions import pixels
+
+    rng = np.random.default_rng(1)
+
+    def encode(px, kind, filters):
+        """A PNG whose scan lines take the given filters in turn, written plainly."""
+        height, width, channels = px.shape
+        lines, above = [], [0] * (width * channels)
+        for y in range(height):
+            row, f, out = px[y].ravel().tolist(), filters[y % len(filters)], []
+            for x, v in enumerate(row):
+                left, corner = (row[x - channels], above[x - channels]) if x >= channels else (0, 0)
+                p = left + above[x] - corner
+                paeth = sorted([(abs(p - left), 0, left), (abs(p - above[x]), 1, above[x]), (abs(p - corner), 2, corner)])[0][2]
+                out.append((v - (0, left, above[x], (left + above[x]) // 2, paeth)[f]) % 256)
+            lines.append(bytes([f, *out]))
+            above = row
+        head = struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)
+        return pixels._SIGNATURE + pixels._chunk(b"IHDR", head) + pixels._chunk(b"IDAT", zlib.compress(b"".join(lines))) + pixels._chunk(b"IEND", b"")
+
+    for kind, channels in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        px = rng.integers(0, 256, (11, 7, channels)).astype(np.uint8)
+        mode, got, _ = pixels.decode_png(encode(px, kind, [0, 1, 2, 3, 4]))
+        assert (got == px).all() and mode == pixels._MODES[kind][0]
+    whole = pixels.statistics(pixels.encode_png([[0, 255], [255, 0]], "L"))
+    assert whole == {"mode": "L", "px_width": 2, "px_height": 2, "n_colors": 2, "grey_min": 0, "grey_max": 255}
+    assert pixels.statistics(b"") is None and pixels.statistics(pixels._SIGNATURE + b"junk") is None
+    assert pixels.statistics(pixels.encode_png([[1] * 300] * 3, "RGB")[:60]) is None
+
+
+def test_remote_sources_need_a_fetcher(spark):
+    from paperloom.sources import remote, service
+
+    sources = spark.createDataFrame([("http://x.org/a.png",), ("data:x",), (None,)], "src string")
+    assert [tuple(r) for r in remote.fetched(sources).collect()] == [("http://x.org/a.png", None, None), ("data:x", None, None), (None, None, None)]
+    got = {r.src: r.name for r in remote.fetched(sources.unionByName(sources), lambda u: b"z" * 200).collect()}
+    assert got["http://x.org/a.png"].endswith(".png") and got["data:x"] is None and got[None] is None
+    assert service.health(spark).first().status == "healthy"
+
+
+def test_similar_sets_equal_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghij0123é中🙂 -") for _ in range(rng.randint(0, 14))) for _ in range(160)]
+    left, right = [(i % 3, t) for i, t in enumerate(texts[:90])], [(i % 3, t, f"p{i}", i) for i, t in enumerate(texts[90:])]
+    chars = lambda t: {c for c in t if c.isalnum()}
+    want = {}
+    for (d, t), (e, u, name, pos) in itertools.product(left, right):
+        if d == e and t and u:
+            a, b = chars(t), chars(u)
+            score = 1.0 if not a and not b else len(a & b) / len(a | b) if a and b else 0.0
+            if score > 0.5:
+                want[d, t] = max(want.get((d, t), (0.0, 0, "")), (score, -pos, name))
+    got = matching.most_similar(frame(spark, left, "doc int, text string"), frame(spark, right, "doc int, text string, id string, pos int"), ["doc"], 0.5).distinct().collect()
+    assert {(r.doc, r.text): (r.match, r.score) for r in got} == {k: (v[2], pytest.approx(v[0])) for k, v in want.items()}
+
+
+def test_exact_only_and_titles(spark):
+    tree = '{"meta":{"title":{"t":"MetaInlines","c":[{"t":"Str","c":"abcdef"}]}},"blocks":[{"t":"Para","c":[{"t":"Str","c":"abcdefg"}]},{"t":"Header","c":[1,[],[{"t":"Str","c":"x"}]]}]}'
+    elements = markup.tree_elements(frame(spark, [(1, tree), (2, "{broken"), (3, None)], "doc int, ast string"))
+    paragraphs = frame(spark, [(1, 0, "p0", "abcdefgh")], "doc int, ord int, para_id string, text string")
+    rows = {r.tag: r.match for r in matching.assign_ids(elements, paragraphs, ["doc"], 0.7, exact_only=F.col("tag") != "Para").collect()}
+    assert rows == {"Title": None, "Para": "p0", "Header": None}
+    assert {r.tag: r.match for r in matching.assign_ids(elements, paragraphs, ["doc"], 0.7).collect()}["Title"] == "p0"

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from paperloom.functions import config, css, similarity, text
-from paperloom.functions.tables import character_map
+from paperloom.functions.tables import CHARACTERS
 
 ODD = " \t\n\x0b\x1c\x85\xa0  ​‍﻿　,;:.!?，。、；：\"《》abZé0٣①Ａ™ﬁ—≠🙂"
 RULES = [
@@ -26,7 +26,7 @@ def plain(value, nfkc=True, custom=True, rules=True):
     if nfkc:
         value = unicodedata.normalize("NFKC", value)
     if custom:
-        for a, b in character_map().items():
+        for a, b in CHARACTERS.items():
             value = value.replace(a, b)
     if rules:
         for a, b in RULES:
@@ -57,7 +57,7 @@ def test_golden(spark, given, expected):
 
 
 def test_whole_map(spark):
-    table = character_map()
+    table = CHARACTERS
     assert len(table) == 210 and table["⑳"] == "(20)" and table["ⓩ"] == "(z)" and table["Ⅷ"] == "VIII" and table["₉"] == "9"
     assert column(spark, list(table), text.replace_characters) == list(table.values())
 
@@ -70,10 +70,34 @@ def test_additional_mappings_keep_their_order(spark):
 def test_clean_fallback_and_paragraphs(spark):
     assert column(spark, ["a\x07b \x00", "\x1f"], text.clean_text) == ["ab", ""]
     assert column(spark, ["a ，b,c.d 1:2", "，​​x"], text.fix_punctuation_fallback) == ["a，b, c.d 1: 2", "，x"]
-    frame = spark.createDataFrame([(["a ,b", " \t", "", "c"],)], "p array<string>")
-    assert frame.select(text.normalize_paragraphs(F.col("p"))).first()[0] == ["a, b", "c"]
+    frame = spark.createDataFrame([(1, ["a ,b", " \t", "", "c①"]), (2, []), (3, None)], "i int, p array<string>")
+    assert [r.p for r in frame.select("i", text.normalize_paragraphs(F.col("p")).alias("p")).orderBy("i").collect()] == [["a, b", "c1"], [], None]
 
 
+def test_white_space_is_pythons(spark):
+    assert text._SPACES == "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+    assert column(spark, ["\u3000 a\x1cb\x85\t", "", None, " "], text.strip) == ["a\x1cb", "", None, ""]
+
+
+def test_replacements_follow_unicode():
+    """The series of the table, told by Unicode's own data."""
+    for char, to in CHARACTERS.items():
+        form, name = unicodedata.normalize("NFKC", char), unicodedata.name(char, "")
+        if name.startswith(("CIRCLED", "PARENTHESIZED")) and "IDEOGRAPH" not in name:
+            assert to == f"({form.strip('()')})"
+        if "SCRIPT DIGIT" in name or name.startswith(("SUPERSCRIPT", "ROMAN NUMERAL", "SMALL ROMAN")):
+            assert to == form
+        assert to.isascii() and (unicodedata.category(char) != "Zs" or to == " ")
+
+
+def test_character_keys(spark):
+    from paperloom.functions.similarity import character_key, character_set
+
+    values = ["Hello, World 12²", "", None, "***", "ΑΣ ΑΣΑ", "Éé½Ⅷ", "abcabc" * 1000, "İ"]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x string")
+    rows = frame.select("i", character_key(F.col("x")).alias("k"), F.array_join(F.array_sort(character_set(F.col("x"))), "").alias("s")).orderBy("i").collect()
+    assert all(r.k == r.s for r in rows) and rows[0].k == "12dehlorw²"
+
 def test_character_info(spark):
     rows = {r.char: r for r in text.character_info(spark.createDataFrame([("é",), ("🙂",), ("①",), ("ab",), ("",)], "char string")).collect()}
     assert (rows["é"].code, rows["é"].category, rows["é"].name) == ("U+00E9", "Ll", "LATIN SMALL LETTER E WITH ACUTE")
