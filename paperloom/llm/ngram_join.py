@@ -13,8 +13,8 @@ and lead no one to a tree.  Each shared leading shingle is a tree for each octav
 which a set stands for the octaves of the sizes that it can link with; equal trees are built once.
 
 Groups of copies.  Equal sets become one vertex before anything else.  Near copies would make all
-pairs of a group survive, so links are found in rounds: first each vertex is compared with one
-leader of its trees (at most two pairs a vertex), then components are formed, and the trees give
+pairs of a group survive, so links are found in rounds: first each vertex is compared with
+leaders of its trees (at most two pairs a vertex), then components are formed, and the trees give
 only pairs between different components; boxes that lie in one component are skipped whole.
 
 Large trees.  A tree of more than ``LISTED`` members is range-sorted by component and size over all
@@ -302,7 +302,7 @@ def pick(table: DataFrame, ids: DataFrame, scratch: Scratch, name: str, rows: in
     return table.join(words, F.shiftright("rid", 6) == F.col("_word")).where(here).select(*table.columns)
 
 
-def ends(pairs: DataFrame) -> DataFrame:
+def both_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
 
@@ -315,7 +315,7 @@ def beside_leader(table: DataFrame, pairs: DataFrame, payload: str, scratch: Scr
     heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).alias("_salts"))
     follow = pairs.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_salts")).alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("_id"))
     lead = heads.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("_id"))
-    rows = pick(table, ends(pairs), scratch, name, 2 * pairs.count()).select("rid", "n", payload)
+    rows = pick(table, both_of(pairs), scratch, name, 2 * pairs.count()).select("rid", "n", payload)
     placed = follow.unionByName(lead).join(rows, F.col("_id") == F.col("rid")).select("a", "salt", "kind", "rid", "n", payload)
     return placed.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
 
@@ -396,14 +396,10 @@ def leaves(members: DataFrame) -> DataFrame:
     """(tree, label, n, rid, point, members), sorted within partitions by the first four -> leaves of large trees."""
 
     def run(batches):
-        number, part = 0, TaskContext.get().partitionId()
-
         def leaf(tree: int, rows: list[tuple]) -> pa.RecordBatch:
-            nonlocal number
-            number += 1
             labels, sizes, points = [r[0] for r in rows], [r[1] for r in rows], b"".join(r[3] for r in rows)
             top = np.frombuffer(points, dtype=np.uint32).reshape(-1, GROUPS).max(axis=0)
-            values = [tree, f"{part}-{number}", min(sizes), max(sizes), labels[0] if labels[0] == labels[-1] else -1, top.tobytes(), [r[2] for r in rows], labels, sizes, points, [r[4] for r in rows]]
+            values = [tree, f"{tree}:{rows[0][2]}", min(sizes), max(sizes), labels[0] if labels[0] == labels[-1] else -1, top.tobytes(), [r[2] for r in rows], labels, sizes, points, [r[4] for r in rows]]
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())]
             names = [f.split()[0] for f in _LEAF_FIELDS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
@@ -517,27 +513,27 @@ def classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     leads = chosen.select("rid", "n", reach.alias("reach"), F.explode("lead").alias("lead")).select("rid", "n", "lead", F.explode("reach").alias("octave"))
     leads = t.write(leads.select("rid", "n", F.xxhash64("lead", "octave").alias("token")), "leads")
     n_leads = leads.count()
-    member = F.struct("rid", "n")
-    trees = leads.groupBy("token").agg(F.count("*").alias("size"), F.min(member).alias("leader"), F.max(member).alias("last")).where(F.col("size") > 1)
+    # most leads stand alone: a bare count finds the others, and what more there is to know is asked of these few
+    trees = leads.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     trees = t.write(trees.withColumnRenamed("token", "_token"), "trees", n_leads // 2)
-    within = t.write(leads.join(trees.hint("merge"), F.col("token") == F.col("_token")).select("token", "rid", "n", "size", "leader", "last"), "members", n_leads)
+    within = t.write(leads.join(trees.hint("merge"), F.col("token") == F.col("_token")).select("token", "rid", "n", "size"), "members", n_leads)
+    n_within = within.count()
     t.drop("ids-leads", "leads", "trees")
 
     # rounds against one leader
-    def led(end: str) -> DataFrame:
-        """Each vertex with the first of its trees' ends that is of like size."""
-        fits = (F.col(f"{end}.rid") != F.col("rid")) & (den * F.col(f"{end}.n") >= num * F.col("n")) & (den * F.col("n") >= num * F.col(f"{end}.n"))
-        return within.where(fits).groupBy(F.col("rid").alias("b")).agg(F.min(f"{end}.rid").alias("a")).select("a", "b")
-
-    stars = t.write(led("leader").unionByName(led("last")).distinct(), "stars", 2 * n_docs)
+    member = F.struct("rid", "n")
+    ends = within.groupBy(F.col("token").alias("_token")).agg(F.min(member).alias("leader"), F.max(member).alias("last"))
+    ended = within.join(ends.hint("merge"), F.col("token") == F.col("_token")).select("rid", "n", F.explode(F.array("leader", "last")).alias("end"))
+    fits = (F.col("end.rid") != F.col("rid")) & (den * F.col("end.n") >= num * F.col("n")) & (den * F.col("n") >= num * F.col("end.n"))
+    led = ended.where(fits).groupBy(F.col("rid").alias("b")).agg(F.min("end.rid").alias("x"), F.max("end.rid").alias("y"))
+    stars = t.write(led.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"), "stars", 2 * n_docs)
     tried = t.write(bounded(points, stars, num, den, t, "ids-stars"), "tried", stars.count(), PAIRS_A_TASK)
     links = t.write(verify(full, tried, num, den, t, "ids-tried"), "links", tried.count(), PAIRS_A_TASK)
     t.drop("stars", "ids-stars", "ids-tried")
     labels = connected_components(links, t, "labels")
 
     # trees between components
-    n_within = within.count()
-    mixed = relabel(within.select("token", "rid", "n", "size"), labels)
+    mixed = relabel(within, labels)
     spread = mixed.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select(F.col("token").alias("_token"))
     spread = t.write(spread, "spread", n_within // 2)
     mixed = t.write(mixed.join(spread, F.col("token") == F.col("_token")).select("token", "rid", "n", "size", "label"), "mixed", n_within)
