@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import bound_batches
-from .vocab import Memo, broadcast_file, ranks_of, splitter, unlike_letters
+from .vocab import Memo, broadcast_file, ranks_of, release, splitter, unlike_letters
 
 _MASK = (1 << 128) - 1
 _MIX = 0x9E3779B97F4A7C15F39CC0605CEDC835
@@ -192,8 +192,11 @@ def _without(df: DataFrame, name: str) -> list[str]:
     return [c for c in df.columns if c.lower() != name]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, cache: int = CACHE_BYTES) -> DataFrame:
-    """Adds ``ids`` (array of int) to the columns ``keep`` (all by default); ``cache`` trades a worker's memory for time."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, cache: int = CACHE_BYTES, resident: bool = True) -> DataFrame:
+    """Adds ``ids`` (array of int) to the columns ``keep`` (all by default).
+
+    ``cache`` trades a worker's memory for time; unless ``resident`` a worker gives it back after each task.
+    """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "ids"]
     bound_batches(docs.sparkSession)
     file = broadcast_file(docs.sparkSession, path)
@@ -215,6 +218,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                     ends.append(at_id)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[f.name for f in schema.fields])
+        if not resident:
+            del look
+            encoder_of.cache_clear()
+            release()
 
     return source.mapInArrow(run, schema)
 

@@ -11,9 +11,9 @@ from .common import Scratch
 def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(a, b) links of long ids -> (id, label): the smallest id reachable, for each linked id.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so
-    chains shorten by half and more each time.  Rounds are written to the shared folder, a round's
-    tables go when the next has been written; nothing but whether a label changed comes to the
+    Each round takes the smallest label among the neighbours and the label of the label, so chains
+    shorten by half and more each time.  Rounds are written to the shared folder, a round's table
+    goes when the next has been written; nothing but whether a label changed comes to the
     driver.  A step takes as many tasks as its rows need.  Joins are on ids of written tables, so adaptive execution can split an id with very
     many links.  The result is the table ``{name}`` of the scratch folder.
     """
@@ -24,10 +24,10 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
     step, changed = 0, True
     while changed:
         near = edges.join(labels, edges.b == labels.id).groupBy(F.col("a").alias("_a")).agg(F.min("label").alias("m"))
-        lower = scratch.write(labels.join(near, F.col("id") == F.col("_a"), "left").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label")), f"{name}-near-{step}", n)
-        jump = lower.select(F.col("id").alias("_id"), F.col("label").alias("_up"))
-        moved = scratch.write(lower.join(jump, F.col("label") == F.col("_id"), "left").select("id", "old", F.least("label", "_up").alias("label")), f"{name}-{step + 1}", n)
-        scratch.drop(f"{name}-{step}", f"{name}-near-{step}")
+        up = labels.select(F.col("id").alias("_id"), F.col("label").alias("_up"))
+        lower = labels.join(near, F.col("id") == F.col("_a"), "left").join(up, F.col("label") == F.col("_id"), "left")
+        moved = scratch.write(lower.select("id", F.col("label").alias("old"), F.least("label", "m", "_up").alias("label")), f"{name}-{step + 1}", n)
+        scratch.drop(f"{name}-{step}")
         changed = not moved.where(F.col("old") != F.col("label")).isEmpty()
         labels, step = moved.select("id", "label"), step + 1
     scratch.drop(f"{name}-edges")
