@@ -62,7 +62,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     hashed = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("__sha"))
     # written in between, so that a task never has an encoding and a decoding worker at once
-    encoded = materialize(bpe.encode_documents(hashed, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "__sha"]), "pipeline-ids")
+    encoded = materialize(bpe.encode_documents(hashed, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "__sha"], resident=False), "pipeline-ids")
     decoded = bpe.decode_documents(encoded, path)
     return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("__sha")).alias("round_trip"))
 
