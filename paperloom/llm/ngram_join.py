@@ -13,9 +13,9 @@ and lead no one to a tree.  Each shared leading shingle is a tree for each octav
 which a set stands for the octaves of the sizes that it can link with; equal trees are built once.
 
 Groups of copies.  Equal sets become one vertex before anything else.  Near copies would make all
-pairs of a group survive, so links are found in rounds: first each vertex is compared with
-leaders of its trees (at most two pairs a vertex), then components are formed, and the trees give
-only pairs between different components; boxes that lie in one component are skipped whole.
+pairs of a group survive, so links are found in rounds: first each vertex is compared with one
+leader, then components are formed, and the trees give only pairs between different components;
+boxes that lie in one component are skipped whole.
 
 Large trees.  A tree of more than ``LISTED`` members is range-sorted by component and size over all
 tasks and cut in leaves of at most ``BLOCK`` members or ``BLOCK_BYTES``, so no task holds an unbounded
@@ -63,8 +63,8 @@ FOLLOWERS = 64
 LEAF, FAN = 16, 8
 #: Pairs that one task compares, and pairs of leaves.
 PAIRS_A_TASK, LEAVES_A_TASK = 25_000, 64
-#: Words of 64 ids sent to all executors at most (16 bytes each), to pick sets where they lie.
-BROADCAST_WORDS = 1_000_000
+#: Narrow rows (ids, words of 64 ids) sent to all executors at most, so that sets are picked where they lie.
+BROADCAST_ROWS = 1_000_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -288,6 +288,11 @@ class Union:
 # ---- links -----------------------------------------------------------------------------------
 
 
+def sent(narrow: DataFrame, rows: int) -> DataFrame:
+    """To be broadcast if there are few rows; else the join shuffles."""
+    return F.broadcast(narrow) if rows <= BROADCAST_ROWS else narrow
+
+
 def pick(table: DataFrame, ids: DataFrame, scratch: Scratch, name: str, rows: int) -> DataFrame:
     """Rows of ``table`` whose rid is among ``id`` of ``ids``, which are no more than ``rows``.
 
@@ -296,43 +301,43 @@ def pick(table: DataFrame, ids: DataFrame, scratch: Scratch, name: str, rows: in
     """
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("id", F.lit(64)).cast("int"))
     words = scratch.write(ids.groupBy(F.shiftright("id", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")), name, rows)
-    if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
-        words = F.broadcast(words)
+    words = sent(words, words.count())
     here = F.getbit(F.col("_bits"), F.pmod("rid", F.lit(64))) == 1
     return table.join(words, F.shiftright("rid", 6) == F.col("_word")).where(here).select(*table.columns)
 
 
-def both_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
-
-
 def beside_leader(table: DataFrame, pairs: DataFrame, payload: str, scratch: Scratch, name: str) -> DataFrame:
     """(a, salt, kind, rid, n, payload): each pair's b in a group with its a in front, groups together in a task.
 
     A leader of many pairs stands in front of several groups of about ``FOLLOWERS``, so neither its
     row nor a group's task grows with the number of its pairs.
     """
+    n = pairs.count()
     heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).alias("_salts"))
     follow = pairs.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_salts")).alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("_id"))
     lead = heads.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("_id"))
-    rows = pick(table, both_of(pairs), scratch, name, 2 * pairs.count()).select("rid", "n", payload)
-    placed = follow.unionByName(lead).join(rows, F.col("_id") == F.col("rid")).select("a", "salt", "kind", "rid", "n", payload)
+    asked = scratch.write(follow.unionByName(lead), f"{name}-asked", 2 * n)
+    rows = pick(table, asked.select(F.col("_id").alias("id")), scratch, name, 2 * n).select("rid", "n", payload)
+    placed = rows.join(sent(asked, 2 * n), F.col("_id") == F.col("rid")).select("a", "salt", "kind", "rid", "n", payload)
     return placed.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
 
 
 def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs that are links."""
+    """Links among the pairs: all that it takes to join what they join.
+
+    Pairs whose ends other links of the task have joined already are not compared.
+    """
 
     def run(batches):
-        front, size = np.empty(0, dtype=np.uint64), 0
+        front, size, joined = np.empty(0, dtype=np.uint64), 0, Union()
         for batch in batches:
             a, b = [], []
             for i in range(batch.num_rows):
-                leader, _, kind, rid, n, members = (c[i].as_py() for c in batch.columns)
-                own = unpack(members)
+                leader, _, kind, rid, n = (c[i].as_py() for c in batch.columns[:5])
                 if kind == 0:
-                    front, size = own, n
-                elif linked(overlap(front, own), size, n, num, den):
+                    front, size = unpack(batch.column(5)[i].as_py()), n
+                elif joined.find(leader) != joined.find(rid) and linked(overlap(front, unpack(batch.column(5)[i].as_py())), size, n, num, den):
+                    joined.join(joined.find(leader), joined.find(rid))
                     a.append(leader)
                     b.append(rid)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -511,25 +516,24 @@ def classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     octave = lambda n: F.floor(F.log2(n)).cast("int")
     reach = F.sequence(octave(F.col("n")), octave(F.floor(F.col("n") * den / num)))
     leads = chosen.select("rid", "n", reach.alias("reach"), F.explode("lead").alias("lead")).select("rid", "n", "lead", F.explode("reach").alias("octave"))
-    leads = t.write(leads.select("rid", "n", F.xxhash64("lead", "octave").alias("token")), "leads")
-    n_leads = leads.count()
+    leads = leads.select("rid", "n", F.xxhash64("lead", "octave").alias("token"))
+    n_leads = chosen.agg(F.sum(F.size("lead").cast("long") * F.size(reach))).first()[0] or 0
     # most leads stand alone: a bare count finds the others, and what more there is to know is asked of these few
     trees = leads.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     trees = t.write(trees.withColumnRenamed("token", "_token"), "trees", n_leads // 2)
     within = t.write(leads.join(trees.hint("merge"), F.col("token") == F.col("_token")).select("token", "rid", "n", "size"), "members", n_leads)
     n_within = within.count()
-    t.drop("ids-leads", "leads", "trees")
+    t.drop("ids-leads", "trees")
 
-    # rounds against one leader
-    member = F.struct("rid", "n")
-    ends = within.groupBy(F.col("token").alias("_token")).agg(F.min(member).alias("leader"), F.max(member).alias("last"))
-    ended = within.join(ends.hint("merge"), F.col("token") == F.col("_token")).select("rid", "n", F.explode(F.array("leader", "last")).alias("end"))
+    # a round against one leader: of the first members of its trees the one that a vertex shares most of them with
+    ends = within.groupBy(F.col("token").alias("_token")).agg(F.min(F.struct("rid", "n")).alias("end"))
+    ended = within.join(ends.hint("merge"), F.col("token") == F.col("_token"))
     fits = (F.col("end.rid") != F.col("rid")) & (den * F.col("end.n") >= num * F.col("n")) & (den * F.col("n") >= num * F.col("end.n"))
-    led = ended.where(fits).groupBy(F.col("rid").alias("b")).agg(F.min("end.rid").alias("x"), F.max("end.rid").alias("y"))
-    stars = t.write(led.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"), "stars", 2 * n_docs)
+    led = ended.where(fits).groupBy(F.col("rid").alias("b"), F.col("end.rid").alias("a")).agg(F.count("*").alias("_shared"))
+    stars = t.write(led.groupBy("b").agg(F.max_by("a", F.struct("_shared", -F.col("a"))).alias("a")).select("a", "b"), "stars", n_docs)
     tried = t.write(bounded(points, stars, num, den, t, "ids-stars"), "tried", stars.count(), PAIRS_A_TASK)
     links = t.write(verify(full, tried, num, den, t, "ids-tried"), "links", tried.count(), PAIRS_A_TASK)
-    t.drop("stars", "ids-stars", "ids-tried")
+    t.drop("stars", "ids-stars", "ids-stars-asked", "ids-tried", "ids-tried-asked")
     labels = connected_components(links, t, "labels")
 
     # trees between components
@@ -549,19 +553,19 @@ def classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     small = t.write(lists.select(F.xxhash64("l").alias("tree"), F.explode("l").alias("m")).select("tree", "m.rid", "m.label").distinct(), "small", n_mixed)
     n_small = small.count()
     place = pick(points, small.select(F.col("rid").alias("id")), t, "ids-small", n_small).withColumnRenamed("rid", "_rid")
-    placed = small.join(place, F.col("rid") == F.col("_rid")).select("tree", "rid", "label", "n", "point").repartition("tree").sortWithinPartitions("tree")
+    placed = place.join(sent(small, n_small), F.col("rid") == F.col("_rid")).select("tree", "rid", "label", "n", "point").repartition("tree").sortWithinPartitions("tree")
     both = F.array_sort(F.array("a", "b"))
     known = tried.select(both[0].alias("a"), both[1].alias("b"))
     pairs = t.write(small_tree_pairs(placed, num, den).distinct().join(known, ["a", "b"], "left_anti"), "pairs", n_small, PAIRS_A_TASK)
     t.drop("small", "ids-small", "tried")
     more = t.write(verify(full, pairs, num, den, t, "ids-pairs"), "more", pairs.count(), PAIRS_A_TASK)
-    t.drop("pairs", "ids-pairs")
+    t.drop("pairs", "ids-pairs", "ids-pairs-asked")
 
     order = ["tree", "label", "n", "rid"]
     big = mixed.where(F.col("size") > LISTED).select(F.col("token").alias("tree"), "rid", "label")
     n_big = big.count()
     sets = pick(full, big.select(F.col("rid").alias("id")), t, "ids-big", n_big).select(F.col("rid").alias("_rid"), "n", "point", "members")
-    big = big.join(sets, F.col("rid") == F.col("_rid")).select(*order, "point", "members")
+    big = sets.join(sent(big, n_big), F.col("rid") == F.col("_rid")).select(*order, "point", "members")
     cut = t.write(leaves(big.repartitionByRange(*order).sortWithinPartitions(*order)), "leaves", n_big, PAIRS_A_TASK)
     t.drop("mixed", "ids-big")
     met = t.write(leaf_pairs(cut, num, den), "leaf-pairs", cut.count())

@@ -68,7 +68,7 @@ def test_equals_brute_force(spark, documents, monkeypatch, k, num, listed, block
 
 def test_beyond_the_broadcast_bound(spark, documents, monkeypatch):
     rows = corpus()
-    monkeypatch.setattr(ngram_join, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     got = ngram_join.similar_documents(documents(rows), 3, 90, 100).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 90, 100)
 
