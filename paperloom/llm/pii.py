@@ -219,31 +219,41 @@ def sent(terms: DataFrame, *columns: str) -> dict[str, np.ndarray] | None:
     return {c: got.column(c).to_numpy(zero_copy_only=False) for c in columns}
 
 
+class TermsOf:
+    """token -> hash of its term, None if it is none or not among the wanted ones; remembers what it has seen."""
+
+    def __init__(self, wanted=None, most: int = 300_000):
+        self.wanted, self.most, self.known = wanted, most, {}
+
+    def __call__(self, text: str) -> set[int]:
+        known, out = self.known, set()
+        for token in set(text.split()):
+            h = known.get(token, 0)
+            if h == 0:
+                term = term_of(token)
+                h = _hash(term) if term else None
+                if h is not None and self.wanted is not None and h not in self.wanted:
+                    h = None
+                if len(known) > self.most:
+                    known.clear()
+                if len(token) <= 64:
+                    known[token] = h
+            if h is not None:
+                out.add(h)
+        return out
+
+
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term -> df_term over all documents, for the given distinct terms."""
     few = sent(terms, "term")
     wanted = None if few is None else docs.sparkSession.sparkContext.broadcast(np.sort(few["term"]))
 
     def run(batches):
-        keep = None if wanted is None else set(wanted.value.tolist())
-        known: dict[str, int | None] = {}
+        terms_of = TermsOf(None if wanted is None else set(wanted.value.tolist()))
         for batch in batches:
             counts: Counter = Counter()
             for value in batch.column(0):
-                found = set()
-                for token in set((value.as_py() or "").split()):
-                    h = known.get(token, 0)
-                    if h == 0:
-                        term = term_of(token)
-                        h = _hash(term) if term else None
-                        if h is not None and keep is not None and h not in keep:
-                            h = None
-                        if len(known) > 300_000:
-                            known.clear()
-                        known[token] = h
-                    if h is not None:
-                        found.add(h)
-                counts.update(found)
+                counts.update(terms_of(value.as_py() or ""))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
     counted = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
@@ -296,9 +306,10 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, t: Scratch, generalise:
 _PLACES = "doc string, row_key long, start int, end int, action string"
 
 
-def _placed(doc: str, key: int, found: list[tuple[int, int, str]]) -> pa.RecordBatch:
-    columns = [[doc] * len(found), [key] * len(found), *([x[i] for x in found] for i in range(3))]
+def _placed(found: list[tuple]) -> pa.RecordBatch:
+    """(doc, row_key, start, end, action) rows."""
     kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+    columns = list(zip(*found, strict=True)) or [()] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "row_key", "start", "end", "action"])
 
 
@@ -308,10 +319,11 @@ def places_beside(rows: DataFrame, beside: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for doc, key, base, body, flags in zip(*batch.columns, strict=True):
-                action = {f["term"]: f["action"] for f in flags.as_py()}
-                spans = [tuple(s.values()) for s in base.as_py()]
-                yield _placed(doc.as_py(), key.as_py(), [(x, y, action[h]) for h, x, y in occurrences(body.as_py(), spans) if h in action])
+            out = []
+            for doc, key, base, body, flags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                action = {f["term"]: f["action"] for f in flags}
+                out += [(doc, key, x, y, action[h]) for h, x, y in occurrences(body, [tuple(s.values()) for s in base]) if h in action]
+            yield _placed(out)
 
     return joined.mapInArrow(run, _PLACES)
 
@@ -324,17 +336,15 @@ def places_alone(docs: DataFrame, alone: DataFrame) -> DataFrame:
 
     def run(batches):
         action = None if wanted is None else wanted.value
+        terms_of = TermsOf(action)
         for batch in batches:
-            for doc, key, value in zip(*batch.columns, strict=True):
-                text = value.as_py() or ""
-                if action is not None and not any(_hash(x) in action for x in {term_of(token) for token in set(text.split())} - {""}):
+            out = []
+            for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not text or action is not None and not terms_of(text):
                     continue
                 found = occurrences(text, base_spans(text))
-                if action is None:
-                    found = [(x, y, str(h)) for h, x, y in found]
-                else:
-                    found = [(x, y, action[h]) for h, x, y in found if h in action]
-                yield _placed(doc.as_py(), key.as_py(), found)
+                out += [(doc, key, x, y, str(h) if action is None else action[h]) for h, x, y in found if action is None or h in action]
+            yield _placed(out)
 
     placed = source.mapInArrow(run, _PLACES)
     if wanted is not None:
