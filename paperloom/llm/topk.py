@@ -8,10 +8,11 @@ one from the highest downwards, so every contribution is counted from zero (what
 A query takes segments of all dimensions in descending impact |q_d| * level, and adds each
 segment's impact to the vectors in it.  Impacts fall from round to round by the factor ``FALL``; after
 each round a vector has a lower bound (the impacts taken) and an upper bound (plus the width of those
-segments, plus the largest impact left in each dimension where the vector hasn't come up).  The query
-stops as soon as few vectors can still reach the k-th lower bound: that is the proof that no other
-can be a member.  Those few are scored exactly.  If the bounds never part, all segments are taken and
-every possible member is scored.
+segments, plus the largest impact left in each dimension where the vector hasn't come up).  A vector
+whose upper bound is below the k-th lower bound is proved to be no member.  The query stops as soon as
+few are left, or after ``ROUNDS`` rounds: by then it costs less to score those left than to take the
+weak segments, which are the longest.  All that are left are scored exactly, so the result never
+depends on when it stops.
 
 Exact scores.  Scaled components are whole numbers held as doubles, which lose none of their digits.
 A product is taken in 64-bit integers where the sizes of its components bound it below 2**62, else
@@ -37,12 +38,12 @@ from . import blocks
 SCALE = 256
 #: Segments of a dimension at most; a block whose components span less has one for each value.
 LEVELS = 1024
-#: From round to round impacts fall by this factor, ``ROUNDS`` times; what is left then is one more round.
-FALL, ROUNDS = 0.75, 12
+#: From round to round impacts fall by this factor, ``ROUNDS`` times.
+FALL, ROUNDS = 0.4, 3
 #: Share of a block's vectors that are scored exactly rather than pursued by the index.
 FEW = 1 / 20
-#: Products bounded below this are taken in 64-bit integers.
-WIDE = float(1 << 62)
+#: Products bounded below these lose no digit in doubles and in 64-bit integers.
+EXACT, WIDE = float(1 << 53), float(1 << 62)
 
 
 class ImpactIndex:
@@ -57,13 +58,13 @@ class ImpactIndex:
         order = np.argsort(self.level, axis=0, kind="stable")
         self.docs = np.ascontiguousarray(order.T)
         self.rank = np.ascontiguousarray(np.take_along_axis(self.level, order, axis=0).T).astype(np.float64)
+        self.rank_down = self.levels - 1 - self.rank
         edges = np.arange(self.levels + 1)
         self.starts = np.stack([np.searchsorted(r, edges) for r in self.rank])
 
     def members(self, q: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
         """Positions of all possible members of the top k; ``own`` marks excluded rows."""
         n, dims = self.matrix.shape
-        last = self.levels - 1
         weight = np.abs(q) * self.width  # impact of one level
         up = q >= 0
         low = np.zeros(n)
@@ -72,26 +73,24 @@ class ImpactIndex:
         # a row's levels are at most as wide as the impact of one; the single-precision sum below errs by less than the rest
         slack = float(weight[self.width > 1].sum()) + 4e-6 * (1 + float(weight.sum()) * self.levels)
         found = np.flatnonzero(~own)
-        for step in range(1, ROUNDS + 2):
-            if step <= ROUNDS:
-                # a segment at distance i from the weak end has impact (i + 1) * weight
-                left = np.ceil(np.minimum(FALL**step * top / np.maximum(weight, 1e-300), self.levels + 1.0)) - 1
-                take = (self.levels - np.clip(left, 0, self.levels)).astype(np.int64)
-            else:
-                take = np.full(dims, self.levels)
-            for d in np.flatnonzero(take > seen):
-                a, b = (self.levels - take[d], self.levels - seen[d]) if up[d] else (seen[d], take[d])
-                span = slice(self.starts[d, a], self.starts[d, b])
-                gain = self.rank[d, span] if up[d] else last - self.rank[d, span]
-                low[self.docs[d, span]] += gain * weight[d]  # a vector stands once in a dimension
+        for step in range(1, ROUNDS + 1):
+            # a segment at distance i from the weak end has impact (i + 1) * weight
+            left = np.ceil(np.minimum(FALL**step * top / np.maximum(weight, 1e-300), self.levels + 1.0)) - 1
+            take = (self.levels - np.clip(left, 0, self.levels)).astype(np.int64)
+            fresh = np.flatnonzero(take > seen)
+            spans = [(self.levels - take[d], self.levels - seen[d]) if up[d] else (seen[d], take[d]) for d in fresh]
+            spans = [slice(self.starts[d, x], self.starts[d, y]) for d, (x, y) in zip(fresh, spans, strict=True)]
+            if spans:
+                gains = [(self.rank if up[d] else self.rank_down)[d, span] for d, span in zip(fresh, spans, strict=True)]
+                impact = np.concatenate(gains) * np.repeat(weight[fresh], [len(g) for g in gains])
+                low += np.bincount(np.concatenate([self.docs[d, span] for d, span in zip(fresh, spans, strict=True)]), impact, n)
             seen = np.maximum(seen, take)
             high = low + slack
+            # below the frontier a dimension can still give the impact of its next level
             rest = (self.levels - seen) * weight
-            if rest.any():
-                # below the frontier a dimension can still give the impact of its next level
-                unknown = np.where(up, self.level < self.levels - seen, self.level >= seen)
-                scale = max(float(rest.max()), 1e-300)
-                high += scale * (unknown.astype(np.float32) @ (rest / scale).astype(np.float32))
+            weak = (self.level < np.where(up, self.levels - seen, seen)).astype(np.float32)  # there; with a negative component all others are
+            scale = max(float(rest.max()), 1e-300)
+            high += scale * (weak @ (np.where(up, rest, -rest) / scale).astype(np.float32)) + rest[~up].sum()
             floor = np.where(own, -np.inf, low)
             bar = np.partition(floor, n - k)[n - k] if n > k else -np.inf
             found = np.flatnonzero((high >= bar) & ~own)
@@ -101,7 +100,10 @@ class ImpactIndex:
 
     def scores(self, q: np.ndarray, at: np.ndarray) -> list[int] | np.ndarray:
         """Exact inner products of these rows."""
-        wide = self.largest[at] * max(1.0, np.abs(q).max()) * max(1, len(q)) >= WIDE
+        most = self.largest[at] * max(1.0, np.abs(q).max()) * max(1, len(q))
+        if not len(at) or most.max() < EXACT:  # sums of whole numbers that doubles hold
+            return ((self.matrix @ q)[at] if 4 * len(at) > len(self.matrix) else self.matrix[at] @ q).astype(np.int64)
+        wide = most >= WIDE
         if not wide.any():
             return self.matrix[at].astype(np.int64) @ q.astype(np.int64)
         whole = [int(x) for x in q]
