@@ -16,8 +16,8 @@ reaches ``reveal``, the term gives the entity away on its own and goes in every
 Scale.  Patterns run where a document is read, each in linear time of the text, so very long
 runs of digits or letters cost no more than others.  Only documents with entities are kept aside
 and only their terms shuffled, those that are too frequent to reach the threshold not beyond a
-first count; the corpus count of the others covers every document, as does the search for terms that
-reveal on their own.  Terms are broadcast only up to ``BROADCAST_TERMS`` after counting them; beyond
+first count; which documents hold the others is asked of every document, so that those are known in
+which a term reveals on its own.  Terms are broadcast only up to ``BROADCAST_TERMS`` after counting them; beyond
 that all occurrences are shuffled and joined.  A document of many entities gives each of them with
 each of its rare terms.  Tables go as they are consumed; the spans stay.
 
@@ -31,7 +31,6 @@ entities flag it.  An empty table gives none; other columns are ignored, or pass
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -243,28 +242,30 @@ class TermsOf:
         return out
 
 
-def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term -> df_term over all documents, for the given distinct terms."""
+def holders(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, row_key): which rows of all documents hold which of the given distinct terms."""
     few = sent(terms, "term")
     wanted = None if few is None else docs.sparkSession.sparkContext.broadcast(np.sort(few["term"]))
 
     def run(batches):
         terms_of = TermsOf(None if wanted is None else set(wanted.value.tolist()))
         for batch in batches:
-            counts: Counter = Counter()
-            for value in batch.column(0):
-                counts.update(terms_of(value.as_py() or ""))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+            found, keys = [], []
+            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = terms_of(text or "")
+                found += own
+                keys += [key] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(keys, pa.int64())], names=["term", "row_key"])
 
-    counted = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
-    return counted if wanted is not None else counted.join(terms, "term", "left_semi")
+    held = docs.select(row_key().alias("row_key"), "text").mapInArrow(run, "term long, row_key long")
+    return held if wanted is not None else held.join(terms, "term", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, t: Scratch, generalise: float = 0.8, remove: float = 0.95, support: int = 2, reveal: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def disclosing_terms(docs: DataFrame, found: DataFrame, t: Scratch, generalise: float = 0.8, remove: float = 0.95, support: int = 2, reveal: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The pairs above the disclosure thresholds.
 
-    The distinct rows with entities; (doc, row_key, flags) of the terms that go beside their own; and (term,
-    action) of those that reveal an entity in other documents.
+    The distinct rows with entities; (doc, row_key, flags) of the terms that go beside their own; (term,
+    action) of those that reveal an entity in other documents; and the row_key of all documents with such a term.
     """
     total, row = docs.count(), ["doc", "row_key"]
     rows = found.where(F.size("mentions") > 0).withColumn("doc", doc_key())
@@ -281,10 +282,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, t: Scratch, generalise:
     least = held.join(rows.select(*row, "rows"), row).groupBy("term").agg(F.sum("rows").alias("df_least"))
     rare = t.write(held.join(least, "term").join(bounds, row).where(F.col("df_least") <= F.col("bound")).select(*row, "term", "bound"), "rare")
     terms = t.write(rare.select("term").distinct(), "terms")
-    if terms.isEmpty():
-        counts = terms.withColumn("df_term", F.lit(1).cast("long"))
-    else:
-        counts = document_counts(docs, terms)
+    held_by = t.write(holders(docs, terms) if not terms.isEmpty() else rare.select("term", "row_key"), "holders")
+    counts = held_by.groupBy("term").agg(F.count("*").alias("df_term"))
     counted = rare.join(counts, "term").where(F.col("df_term") <= F.col("bound"))
     pairs = t.write(counted.join(mentions, row).where(F.col("df_term") <= F.col("most")).select(*row, "rows", "entity", "term", "near", "df_term", "df_entity"), "pairs")
     joint = pairs.groupBy("entity", "term", "df_term", "df_entity").agg(F.sum("rows").alias("df_both"), F.count_distinct("near").alias("contexts"))
@@ -297,10 +296,11 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, t: Scratch, generalise:
     flagged = t.write(flagged.select("entity", "term", action, ((F.col("given") >= reveal) & (F.col("df_term") > F.col("df_both"))).alias("alone")), "flagged")
     # of two actions "remove", the later by name, is the stronger
     alone = t.write(flagged.where("alone").groupBy("term").agg(F.max("action").alias("action")), "alone")
+    where_alone = t.write(held_by.join(alone, "term", "left_semi").select("row_key").distinct(), "where-alone")
     beside = pairs.select(*row, "entity", "term").join(flagged, ["entity", "term"]).groupBy(*row, "term").agg(F.max("action").alias("action"))
     beside = t.write(beside.groupBy(*row).agg(F.collect_list(F.struct("term", "action")).alias("flags")), "beside")
-    t.drop("mentions", "held", "rare", "terms", "pairs", "flagged")
-    return rows, beside, alone
+    t.drop("mentions", "held", "rare", "terms", "pairs", "flagged", "holders")
+    return rows, beside, alone, where_alone
 
 
 _PLACES = "doc string, row_key long, start int, end int, action string"
@@ -328,21 +328,20 @@ def places_beside(rows: DataFrame, beside: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, _PLACES)
 
 
-def places_alone(docs: DataFrame, alone: DataFrame) -> DataFrame:
-    """Where in all documents the terms stand that reveal an entity on their own."""
+def places_alone(docs: DataFrame, alone: DataFrame, where: DataFrame) -> DataFrame:
+    """Where in the documents that hold them (``where``) the terms stand that reveal an entity on their own."""
     few = sent(alone, "term", "action")
     wanted = None if few is None else docs.sparkSession.sparkContext.broadcast(dict(zip(few["term"].tolist(), few["action"].tolist(), strict=True)))
-    source = docs.select(doc_key().alias("doc"), row_key().alias("row_key"), "text")
+    where = where.select(F.col("row_key").alias("_w"))
+    where = F.broadcast(where) if where.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else where
+    source = docs.select(doc_key().alias("doc"), row_key().alias("row_key"), "text").join(where, F.col("row_key") == F.col("_w"), "left_semi")
 
     def run(batches):
         action = None if wanted is None else wanted.value
-        terms_of = TermsOf(action)
         for batch in batches:
             out = []
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not text or action is not None and not terms_of(text):
-                    continue
-                found = occurrences(text, base_spans(text))
+                found = occurrences(text or "", base_spans(text or ""))
                 out += [(doc, key, x, y, str(h) if action is None else action[h]) for h, x, y in found if action is None or h in action]
             yield _placed(out)
 
@@ -357,15 +356,15 @@ def find_spans(docs: DataFrame, **thresholds) -> DataFrame:
     """doc_id, row_key, base, terms (array of start, end, action) of each row."""
     t = Scratch(docs.sparkSession, "pii")
     found = t.write(find_base(docs), "base")
-    rows, beside, alone = disclosing_terms(docs, found, t, **thresholds)
+    rows, beside, alone, where = disclosing_terms(docs, found, t, **thresholds)
     places = places_beside(rows, beside)
     if not alone.isEmpty():
-        places = places.unionByName(places_alone(docs, alone))
+        places = places.unionByName(places_alone(docs, alone, where))
     places = places.groupBy("doc", "row_key", "start", "end").agg(F.max("action").alias("action"))
     places = places.groupBy(F.col("doc").alias("_d"), F.col("row_key").alias("_k")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("_terms"))
     joined = found.join(places, (doc_key() == F.col("_d")) & (F.col("row_key") == F.col("_k")), "left")
     out = t.write(joined.select("doc_id", "row_key", "base", F.coalesce("_terms", F.array().cast(_TERMS)).alias("terms")), "spans")
-    t.drop("base", "entity-rows", "alone", "beside")
+    t.drop("base", "entity-rows", "alone", "where-alone", "beside")
     return out
 
 
