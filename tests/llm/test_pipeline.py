@@ -81,3 +81,36 @@ def test_run_equals_the_stages(spark, stages, sf_dir):
 
 def test_quality_cut_is_the_threshold():
     assert quality.CUT == 0.7
+
+
+def odd_rows(documents):
+    long = "word " * 30_000
+    rows = [(None, None), (None, "no id here at all but words"), (1, ""), (1, "one id and two different texts, this one"), (1, "the other text under the same id"), (2, "repeated row of words a@b.co"), (2, "repeated row of words a@b.co"), (3, long), (4, " \n\t "), (5, None)]
+    return documents([(i, t, None if i == 5 else "s", n, "x") for n, (i, t) in enumerate(rows)], ", Size int, BASE string"), rows
+
+
+@pytest.mark.parametrize("at", range(4))
+def test_stages_take_odd_rows(spark, documents, sf_dir, at):
+    name, stage = pipeline.STAGES[at]
+    docs, rows = odd_rows(documents)
+    out = stage(spark, docs, sf_dir)
+    assert out.columns == docs.columns and out.schema == docs.schema
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    if name == "quality":
+        assert set(got) <= set(rows) and all(got.count(x) in (0, rows.count(x)) for x in rows)
+    if name == "near_copies":
+        assert sorted(got, key=repr) == sorted(set(rows), key=repr)
+    if name == "personal_data":
+        assert sorted(got, key=repr) == sorted(((i, t and t.replace("a@b.co", "[EMAIL]")) for i, t in rows), key=repr)
+    if name == "mixing":
+        assert set(got) <= set(rows) and {x for x in rows if not (x[1] or "").split()} <= set(got)
+
+
+def test_encoding_takes_odd_rows(spark, documents, sf_dir):
+    docs, rows = odd_rows(documents)
+    stage = dict(pipeline.STAGES)["encoding"]
+    out = stage(spark, docs, sf_dir).collect()
+    assert len(out) == len(rows) and all(r.round_trip for r in out)
+    assert sorted(r.n_tokens == 0 for r in out) == sorted(not t for _, t in rows)
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
