@@ -58,10 +58,10 @@ def _feature(kind: str, value: str) -> int:
 def word_features(token: str) -> tuple[int, ...]:
     """Hashed features of a token: the word itself and its beginnings, or its pairs of characters."""
     word = token.strip(_STRIP).lower()
-    if not word:
-        return ()
     if _UNSPACED.search(word):
         return tuple({_feature("c", word[i : i + 2]) for i in range(max(1, len(word) - 1))})
+    if len(word) < 3:  # hardly a word of its own meaning
+        return ()
     return (_feature("w", word), *(_feature("p", word[:k]) for k in PREFIXES if len(word) > k))
 
 
@@ -126,7 +126,7 @@ def risk(positive: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndar
     return prior * np.logaddexp(0, -zp).mean() + max(0.0, bracket), gradient
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 300, rate: float = 0.05, decay: float = 3e-4) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 100, rate: float = 0.05, decay: float = 3e-4) -> Model:
     """Trains on hashed feature sets."""
     prior = min(max(prior, LEAST_PRIOR), MOST_PRIOR)
     start = float(np.log(prior / (1 - prior)))

@@ -123,7 +123,7 @@ def test_weighted_quantiles():
 
 def test_unspaced_scripts_and_short_words():
     assert len(toxicity.word_features("毒言葉です")) == 4 and len(toxicity.word_features("毒")) == 1
-    assert len(toxicity.word_features("ox")) == 1 and toxicity.word_features("--") == ()
+    assert toxicity.word_features("ox") == () and len(toxicity.word_features("oxen")) == 1
     docs = [f"普通の文章{i}です" for i in range(40)]
     bad = [f"とても毒言葉{i}だ" for i in range(40)]
     sets = [[toxicity.text_features(t) for t in x] for x in (bad[:20], docs[:30] + bad[20:30])]
