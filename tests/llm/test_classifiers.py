@@ -150,3 +150,36 @@ def test_empty_tables(spark, documents):
     docs, labels = documents([(1, "a")]).limit(0), labelled(spark, [(1, 1, 1)])
     assert toxicity.score_documents(docs, toxicity.train(docs, labels, F.lit(True))).count() == 0
     assert quality.train(docs, labels, F.lit(True)) is None
+
+
+def test_quality_learns_from_every_labelled_row(spark, documents):
+    """A kind of bad text that only the last bad ids in hash order have is known as bad; the executors learn the same as the driver."""
+    ids = [r.id for r in spark.range(8600).orderBy(F.xxhash64("id"), "id").collect()]
+    bad = set(ids[::2])
+    rare = set([i for i in ids if i in bad][4000:])
+    assert len(rare) == 300
+    rows = [(i, f"fine words | | here | {i}" if i in rare else f"junk !!!! ??? {i}" if i in bad else f"fine words about something here {i}") for i in ids]
+    docs, labels = documents(rows), labelled(spark, [(i, int(i not in bad), 0) for i in ids])
+    model = quality.train(docs, labels, F.lit(True))
+    x = np.array([quality.features(t) for _, t in rows])
+    good = model.score(x) >= quality.CUT
+    assert good[[i in rare for i, _ in rows]].sum() == 0
+    assert (good == np.array([i not in bad for i, _ in rows])).mean() > 0.99
+    apart = quality.train(docs, labels, F.lit(True), held_rows=0)
+    assert (model.edges == apart.edges).all() and (model.weights == apart.weights).all() and (model.threshold, model.scale) == (apart.threshold, apart.scale)
+
+
+def test_all_pairs_gradient_equals_that_of_the_pairs_written_out():
+    rng = np.random.default_rng(5)
+    at, good, w = rng.integers(0, quality.BINS, (150, 4)), rng.random(150) < 0.6, rng.normal(0, 1, 4 * quality.BINS)
+    rows, i, j = at + np.arange(4) * quality.BINS, np.flatnonzero(good), np.flatnonzero(~good)
+    plain = quality.pair_gradient(rows[np.repeat(i, len(j))], rows[np.tile(j, len(i))], w)
+    assert quality.all_pairs_gradient(quality.tally(at, good, w), w) == pytest.approx(plain, abs=1e-3)
+
+
+def test_edges_are_the_weighted_quantiles():
+    rng = np.random.default_rng(6)
+    x, good = rng.normal(0, 3, (333, 4)).astype(np.float32), rng.random(333) < 0.5
+    edges = quality.edges_of(quality.Rows((x, good), np.dtype(np.float32)))
+    weight = np.where(good, 2 / good.sum(), 1 / (~good).sum())
+    assert all((edges[k] == quality.weighted_quantiles(x[:, k], weight, np.arange(1, 10) / 10)).all() for k in range(4))
