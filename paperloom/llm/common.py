@@ -31,13 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: The size of a page is looked at from its first row on.  Parquet looks after 100 rows otherwise; of rows of 1 MB that
+#: makes pages of 100 MB, which are packed and unpacked in buffers outside the heap that the executor keeps.
+PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(32 << 20)}
+
+
 def _write(df: DataFrame, path: str) -> DataFrame:
     """Writes ``df`` and reads it back; its shuffle files go when it is written, as nothing reads them again."""
     spark = df.sparkSession
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**PAGES).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)

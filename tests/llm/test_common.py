@@ -32,3 +32,18 @@ def test_shuffle_files_go_and_the_setting_stays(spark):
 def test_batches_are_bounded(spark):
     common.bound_batches(spark)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 16 * 1024 * 1024
+
+
+def test_pages_of_long_rows_are_bounded(spark):
+    """Rows of 256 kB: no page of 100 of them."""
+    written = common.Scratch(spark, "test").write(spark.range(0, 110, 1, 1).select(F.expr("repeat(sha2(cast(id as string), 512), 2048)").alias("t")), "long")
+    jvm, hadoop, sizes = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    (file,) = written.inputFiles()
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), hadoop))
+    column = reader.getFileMetaData().getSchema().getColumns().get(0)
+    while (group := reader.readNextRowGroup()) is not None:
+        pages = group.getPageReader(column)
+        while (page := pages.readPage()) is not None:
+            sizes.append(page.getUncompressedSize())
+    reader.close()
+    assert sum(sizes) > 110 * 256 * 1024 and max(sizes) <= 2 << 20
